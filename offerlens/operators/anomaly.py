@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.features import shorten
 from ..functions.numeric import half_even
-from .distribution import quantile_struct, quantiles
+from .distribution import attach, quantiles
 
 FLAGS = {
     "iqr": "anomaly_iqr", "zscore": "anomaly_zscore", "iforest": "anomaly_iforest", "lof": "anomaly_lof",
@@ -29,28 +29,30 @@ def _outside(price: Column, low: Column, high: Column) -> Column:
 
 def detect_iqr(df: DataFrame, factor: float = 2.5) -> DataFrame:
     """Flag prices beyond the quartiles by ``factor`` interquartile ranges."""
-    q = quantile_struct(df, "price", {"q1": 0.25, "q3": 0.75})
-    spread = q.getField("q3") - q.getField("q1")
-    low, high = q.getField("q1") - factor * spread, q.getField("q3") + factor * spread
-    price = F.col("price")
-    return df.withColumn("anomaly_iqr", _outside(price, low, high)).withColumn(
-        "anomaly_iqr_type", _side(price, price < low, price > high)
-    )
+    marks = quantiles(df, [], "price", {"q1": 0.25, "q3": 0.75})
+    spread = F.col("q3") - F.col("q1")
+    fence = marks.select((F.col("q1") - factor * spread).alias("low"), (F.col("q3") + factor * spread).alias("high"))
+    price, low, high = F.col("price"), F.col("_q.low"), F.col("_q.high")
+    return attach(df, fence).withColumns({
+        "anomaly_iqr": _outside(price, low, high),
+        "anomaly_iqr_type": _side(price, price < low, price > high),
+    }).drop("_q")
 
 
 def detect_zscore(df: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Flag |z| of log1p(price) above the threshold (population deviation)."""
     log = F.log1p("price")
-    m = df.agg(F.struct(F.avg(log).alias("m"), F.stddev_pop(log).alias("s"))).scalar()
-    median = quantiles(df, [], "price", {"median": 0.5}).scalar()
-    out = df.withColumn("_z", F.abs(F.try_divide(log - m.getField("m"), m.getField("s"))))
+    moments = df.agg(F.avg(log).alias("m"), F.stddev_pop(log).alias("s"))
+    both = attach(moments, quantiles(df, [], "price", {"median": 0.5})).select("m", "s", "_q.median")
+    median = F.col("_q.median")
+    out = attach(df, both).withColumn("_z", F.abs(F.try_divide(log - F.col("_q.m"), F.col("_q.s"))))
     flag = F.coalesce(F.col("_z") > threshold, F.lit(False))
     price = F.col("price")
     return out.withColumns({
         "anomaly_zscore": flag,
         "zscore_value": half_even(F.col("_z"), 4),
         "anomaly_zscore_type": _side(price, flag & (price < median), flag & (price > median)),
-    }).drop("_z")
+    }).drop("_z", "_q")
 
 
 def detect_contextual(df: DataFrame, factor: float = 2.0, at_least: int = 10) -> DataFrame:
@@ -72,11 +74,12 @@ def detect_contextual(df: DataFrame, factor: float = 2.0, at_least: int = 10) ->
         )).alias("e")
     )
     table = entries.agg(F.map_from_entries(F.collect_list("e"))).scalar()
-    fence = F.try_element_at(table, F.col("cluster"))
+    df = df.withColumn("_t", table).withColumn("_f", F.try_element_at("_t", F.col("cluster")))
+    fence = F.col("_f")
     flag = F.when(fence.isNull(), F.lit(False)).otherwise(
         _outside(price, fence.getField("low"), fence.getField("high"))
     )
-    return df.withColumn("anomaly_contextual", F.coalesce(flag, F.lit(False)))
+    return df.withColumn("anomaly_contextual", F.coalesce(flag, F.lit(False))).drop("_t", "_f")
 
 
 def anomaly_summary(df: DataFrame) -> DataFrame:
@@ -123,15 +126,16 @@ def explained_anomalies(df: DataFrame, method: str = "iforest", top: int | None
     """
     flag = {m: FLAGS[m] for m in ("iqr", "zscore", "iforest", "lof")}.get(method, FLAGS["iforest"])
     price = F.col("price")
-    median = quantiles(df, [], "price", {"median": 0.5}).scalar()
-    cluster = F.lit("")
+    found = attach(df.where(F.col(flag)), quantiles(df, [], "price", {"median": 0.5}))
+    median, cluster = F.col("_q.median"), F.lit("")
     if "cluster" in df.columns:
         cluster = F.coalesce("cluster", F.lit(""))
         entries = quantiles(df, ["cluster"], "price", {"median": 0.5}).agg(
             F.map_from_entries(F.collect_list(F.struct("cluster", "median")))
         )
-        median = F.when(cluster == "", median).otherwise(F.try_element_at(entries.scalar(), cluster))
-    found = df.where(F.col(flag)).withColumn("_m", median)
+        found = found.withColumn("_t", entries.scalar())
+        median = F.when(cluster == "", median).otherwise(F.try_element_at("_t", cluster))
+    found = found.withColumn("_m", median)
     ratio = F.when(F.col("_m") > 0, price / F.col("_m")).otherwise(F.lit(1.0))
     found = found.withColumn("_r", ratio)
     r = F.col("_r")

@@ -80,9 +80,9 @@ def quantiles(
     return picked.select(*keys, *results)
 
 
-def quantile_struct(df: DataFrame, value: str, wanted: dict[str, float]) -> Column:
-    """Global quantiles as one struct column, evaluated once as a scalar subquery."""
-    return quantiles(df, [], value, wanted).select(F.struct(*wanted)).scalar()
+def attach(df: DataFrame, row: DataFrame, name: str = "_q") -> DataFrame:
+    """Add a one-row table as a struct column: a scalar subquery, planned and run once."""
+    return df.withColumn(name, row.select(F.struct("*")).scalar())
 
 
 def average_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,23 +100,21 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     ends = data.agg(F.min("v").alias("a"), F.max("v").alias("z"))
     flat = F.col("a") == F.col("z")
     ends = ends.select(
-        F.struct(
-            F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
-            F.when(flat, F.col("z") + 0.5).otherwise(F.col("z")).alias("z"),
-        ).alias("ends")
+        F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
+        F.when(flat, F.col("z") + 0.5).otherwise(F.col("z")).alias("z"),
     )
     a, z = F.col("ends.a"), F.col("ends.z")
 
     def edge(i: Column) -> Column:
         return F.when(i == bins, z).otherwise(a + i * ((z - a) / bins))
 
-    placed = data.select("v", ends.scalar().alias("ends"))
+    placed = attach(data, ends, "ends")
     guess = F.least(F.floor((F.col("v") - a) / (z - a) * bins), F.lit(bins - 1))
     placed = placed.withColumn("i", guess)
     i = F.col("i")
     exact = F.when(F.col("v") < edge(i), i - 1).when((F.col("v") >= edge(i + 1)) & (i < bins - 1), i + 1).otherwise(i)
     counted = placed.select(exact.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    frame = spark.range(0, bins, 1, 1).select(F.col("id").alias("bin"), ends.scalar().alias("ends"))
+    frame = attach(spark.range(0, bins, 1, 1).withColumnRenamed("id", "bin"), ends, "ends")
     return (
         frame.where(F.col("ends.a").isNotNull())
         .join(counted, "bin", "left")

@@ -55,6 +55,8 @@ def forest_samples(
     unit = 2.0**63
     pick = F.abs(F.xxhash64(*identity, *names, F.lit(seed))) / F.lit(unit)
     pool = points.where(pick < pool_size / rows).select(*names, F.xxhash64(*identity, *names).alias("_r"))
+    # the pool is bounded, so spreading it over all cores is cheap
+    pool = pool.repartition(points.sparkSession.sparkContext.defaultParallelism)
     spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     spread = spread.withColumn("_u", F.abs(F.xxhash64("_r", "tree", F.lit(seed + 1))) / F.lit(unit))
     likely = spread.where(F.col("_u") < min(1.0, 3.0 * size / pool_size + 0.01))

@@ -32,11 +32,12 @@ def baskets(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def adapted_support(counted: DataFrame, base: float) -> Column:
     """Support threshold by table size: small tables take a third or half of it, within limits."""
-    rows = counted.agg(F.sum("c")).scalar()
-    return (
+    rows = F.sum("c")
+    limit = (
         F.when(rows < 100, F.lit(max(0.03, base / 3))).when(rows < 500, F.lit(max(0.05, base / 2)))
         .otherwise(F.lit(base))
     )
+    return counted.agg(limit).scalar()
 
 
 def _combinations(items: Column, size: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even
-from .distribution import quantiles
+from .distribution import attach, quantiles
 
 
 MARKS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -46,8 +46,8 @@ def _filled(marks: Column, column: str, field: str) -> Column:
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values of the columns become the column median (0 when all are missing)."""
-    marks = medians_of(df, columns)
-    return df.withColumns({c: _filled(marks, c, "median") for c in columns})
+    marked = df.withColumn("_marks", medians_of(df, columns))
+    return marked.withColumns({c: _filled(F.col("_marks"), c, "median") for c in columns}).drop("_marks")
 
 
 def scaled(df: DataFrame, columns: list[str], method: str = "robust", digits: int | None = 6) -> DataFrame:
@@ -58,34 +58,32 @@ def scaled(df: DataFrame, columns: list[str], method: str = "robust", digits: in
     """
     parts: dict[str, tuple[Column, Column, Column]] = {}
     if method in ("minmax", "standard"):
-        marks = medians_of(df, columns)
         first, spread = {"minmax": (F.min, lambda x: F.max(x) - F.min(x)), "standard": (F.avg, F.stddev_pop)}[method]
-        filled = {c: _filled(marks, c, "median") for c in columns}
-        whole = df.select(*[filled[c].alias(c) for c in columns]).agg(
-            F.struct(*[first(c).alias(f"o_{c}") for c in columns], *[spread(c).alias(f"s_{c}") for c in columns])
-        ).scalar()
+        ready = imputed(df.select(*columns), columns)
+        whole = ready.agg(*[first(c).alias(f"o_{c}") for c in columns], *[spread(c).alias(f"s_{c}") for c in columns])
+        marked = attach(df.withColumn("_marks", medians_of(df, columns)), whole, "_whole")
         for c in columns:
-            parts[c] = (filled[c], whole.getField(f"o_{c}"), whole.getField(f"s_{c}"))
+            parts[c] = (_filled(F.col("_marks"), c, "median"), F.col(f"_whole.o_{c}"), F.col(f"_whole.s_{c}"))
     else:
-        marks = imputed_marks(df, columns)
+        marked = df.withColumn("_marks", imputed_marks(df, columns))
         for c in columns:
-            m = F.try_element_at(marks, F.lit(c))
-            parts[c] = (_filled(marks, c, "fill"), m.getField("median"), m.getField("q3") - m.getField("q1"))
+            m = F.try_element_at("_marks", F.lit(c))
+            parts[c] = (_filled(F.col("_marks"), c, "fill"), m.getField("median"), m.getField("q3") - m.getField("q1"))
     out = {}
     for c, (filled_c, origin, width) in parts.items():
         value = (filled_c - origin) / F.when(width == 0, F.lit(1.0)).otherwise(width)
         out[f"{c}_scaled"] = value if digits is None else half_even(value, digits)
-    return df.withColumns(out)
+    return marked.withColumns(out).drop("_marks", "_whole")
 
 
 def normalized_prices(df: DataFrame) -> DataFrame:
     """Add ``price_normalized``: min-max, 0 for a constant column, missing stays missing."""
-    ends = df.agg(F.struct(F.min("price").alias("a"), F.max("price").alias("z"))).scalar()
-    low, high = ends.getField("a"), ends.getField("z")
+    low, high = F.col("_q.a"), F.col("_q.z")
     value = F.when(low == high, F.lit(0.0)).otherwise(
         F.when(F.col("price").isNotNull(), half_even((F.col("price") - low) / (high - low), 6))
     )
-    return df.withColumn("price_normalized", value)
+    ends = df.agg(F.min("price").alias("a"), F.max("price").alias("z"))
+    return attach(df, ends).withColumn("price_normalized", value).drop("_q")
 
 
 def usable_features(df: DataFrame, columns: list[str], share: float = 0.2, always: str = "log_price") -> list[str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,11 +50,16 @@ def collapsed(points: DataFrame, width: int) -> DataFrame:
 
 
 def best_kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> KMeansModel:
-    """Model with the lowest cost of several seeded fits on weighted distinct points."""
-    models = [
-        KMeans(k=k, seed=seed + i, weightCol="weight", featuresCol="features", predictionCol="cluster_id").fit(points)
-        for i in range(restarts)
-    ]
+    """Model with the lowest cost of several seeded fits on weighted distinct points.
+
+    The fits do not depend on each other, so their jobs run side by side.
+    """
+    def fit(i: int) -> KMeansModel:
+        means = KMeans(k=k, seed=seed + i, weightCol="weight", featuresCol="features", predictionCol="cluster_id")
+        return means.fit(points)
+
+    with ThreadPoolExecutor(max_workers=min(8, restarts)) as pool:
+        models = list(pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -66,12 +74,9 @@ def name_clusters(df: DataFrame) -> DataFrame:
     name = F.coalesce(F.get(names, place - 1), F.concat(F.lit("Cluster "), place.cast("string")))
     named = medians.select("cluster_id", name.alias("name"))
     mapping = named.agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "name")))).scalar()
-    return df.withColumn(
-        "cluster",
-        F.when(F.col("cluster_id") == -1, F.lit("Bruit/Outlier")).otherwise(
-            F.try_element_at(mapping, F.col("cluster_id"))
-        ),
-    )
+    name_of = F.try_element_at("_names", F.col("cluster_id"))
+    noise = F.when(F.col("cluster_id") == -1, F.lit("Bruit/Outlier"))
+    return df.withColumn("_names", mapping).withColumn("cluster", noise.otherwise(name_of)).drop("_names")
 
 
 def kmeans_segments(

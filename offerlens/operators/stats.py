@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dims import ANOMALY_BANDS, PRICE_LEVEL_ORDER
 from ..functions.numeric import half_even
-from .distribution import average_ranks, quantiles
+from .distribution import attach, average_ranks, quantiles
 
 MOMENTS = {
     "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
@@ -30,9 +30,7 @@ def group_stats(
     if keys:
         both = basic.join(marks, keys)
     else:
-        both = basic.select("*", marks.select(F.struct(*wanted)).scalar().alias("_q")).select(
-            *moments, *[F.col(f"_q.{name}").alias(name) for name in wanted]
-        )
+        both = attach(basic, marks).select(*moments, *[F.col(f"_q.{name}").alias(name) for name in wanted])
     if digits is None:
         return both
     rounded = {c: half_even(F.col(c), digits) for c in [*moments, *wanted] if c != "count"}

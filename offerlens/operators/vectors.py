@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .distribution import quantiles
+from .distribution import attach, quantiles
 from .scaling import scaled
 
 ANOMALY_FEATURES = ["log_price", "ram_gb", "storage_gb", "cpu_score"]
@@ -40,9 +40,9 @@ def flag_scores(
     the stored score is ``sign`` times s. Hot vectors sit on the row side of
     the join, where adaptive execution splits them.
     """
-    cut = quantiles(scores, [], "s", {"cut": contamination}, weight="c").scalar()
-    judged = scores.select(
-        *names, (F.col("s") < cut).alias(f"anomaly_{method}"),
+    cut = quantiles(scores, [], "s", {"cut": contamination}, weight="c")
+    judged = attach(scores, cut).select(
+        *names, (F.col("s") < F.col("_q.cut")).alias(f"anomaly_{method}"),
         (F.rint(F.col("s") * sign * 10000.0) / 10000.0).alias(f"anomaly_{method}_score"),
     )
     kept = [c for c in points.columns if c not in names]
