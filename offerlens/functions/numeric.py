@@ -8,9 +8,14 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def half_even(col: Column, digits: int) -> Column:
-    """Round to ``digits`` with ties to even, the way array libraries round."""
+    """Round to ``digits`` with ties to even, the way array libraries round.
+
+    Noise beyond six further digits is settled first, so that a mean which
+    lies on a tie does not depend on the order of its summation.
+    """
     scale = float(10**digits)
-    return F.rint(col * F.lit(scale)) / F.lit(scale)
+    settled = F.rint(col * F.lit(scale) * F.lit(1e6)) / F.lit(1e6)
+    return F.rint(settled) / F.lit(scale)
 
 
 def to_number(text: Column) -> Column:

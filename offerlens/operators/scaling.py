@@ -76,6 +76,24 @@ def scaled(df: DataFrame, columns: list[str], method: str = "robust", digits: in
     return marked.withColumns(out).drop("_marks", "_whole")
 
 
+def fixed_scaled(df: DataFrame, columns: dict[str, Column], names: list[str]) -> DataFrame:
+    """Add imputed robust-scaled columns whose marks are known numbers.
+
+    One job reads the marks, one row per column; after it the new columns are
+    plain projections, so that passes of an iterative model do not compute
+    the marks again.
+    """
+    ready = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    marks = ready.limit(1).select(imputed_marks(ready, list(columns)).alias("m")).first()
+    out = {}
+    for name, (n, c) in zip(names, columns.items()):
+        m = marks["m"].get(n) if marks and marks["m"] else None
+        fill, center, width = (m["fill"], m["median"], (m["q3"] - m["q1"]) or 1.0) if m else (0.0, 0.0, 1.0)
+        # adding zero folds -0.0 into 0.0, so equal values have equal keys
+        out[name] = (F.coalesce(c.cast("double"), F.lit(fill)) - F.lit(center)) / F.lit(width) + 0.0
+    return df.withColumns(out)
+
+
 def normalized_prices(df: DataFrame) -> DataFrame:
     """Add ``price_normalized``: min-max, 0 for a constant column, missing stays missing."""
     low, high = F.col("_q.a"), F.col("_q.z")

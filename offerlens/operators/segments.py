@@ -14,7 +14,7 @@ from ..functions.features import shorten
 from ..functions.numeric import half_even
 from ..session import materialize
 from .distribution import quantiles, running_counts, value_counts
-from .scaling import scaled, usable_features
+from .scaling import fixed_scaled, usable_features
 from .stats import group_stats
 
 KMEANS_FEATURES = ["log_price"]
@@ -33,12 +33,10 @@ def price_bands(df: DataFrame) -> DataFrame:
 
 def kmeans_points(df: DataFrame, features: list[str]) -> DataFrame:
     """Imputed, robust-scaled features as x0, x1, ... beside the input columns."""
-    masked = df.withColumns({f"_m_{c}": F.col(c) for c in features})
-    if "cpu_score" in features:
-        masked = masked.withColumn("_m_cpu_score", F.nullif(F.col("cpu_score"), F.lit(0)))
-    names = [f"_m_{c}" for c in features]
-    ready = scaled(masked, names, digits=None).drop(*names)
-    return ready.withColumnsRenamed({f"{c}_scaled": f"x{i}" for i, c in enumerate(names)})
+    known = {
+        f"v{i}": F.nullif(F.col(c), F.lit(0)) if c == "cpu_score" else F.col(c) for i, c in enumerate(features)
+    }
+    return fixed_scaled(df, known, [f"x{i}" for i in range(len(features))])
 
 
 def collapsed(points: DataFrame, width: int) -> DataFrame:
@@ -66,17 +64,26 @@ def best_kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = 42) -
 def name_clusters(df: DataFrame) -> DataFrame:
     """Add ``cluster``: names by rising median price; id -1 is noise.
 
-    The table of names has one row per cluster.
+    One row per cluster comes to the driver.
     """
     medians = quantiles(df.where(F.col("cluster_id") != -1), ["cluster_id"], "price", {"median": 0.5})
     place = F.row_number().over(Window.partitionBy().orderBy("median", "cluster_id"))
     names = F.array(*[F.lit(n) for n in SEGMENT_NAMES])
     name = F.coalesce(F.get(names, place - 1), F.concat(F.lit("Cluster "), place.cast("string")))
-    named = medians.select("cluster_id", name.alias("name"))
-    mapping = named.agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "name")))).scalar()
-    name_of = F.try_element_at("_names", F.col("cluster_id"))
+    pairs = [F.lit(x) for row in medians.select("cluster_id", name.alias("name")).collect() for x in row]
     noise = F.when(F.col("cluster_id") == -1, F.lit("Bruit/Outlier"))
-    return df.withColumn("_names", mapping).withColumn("cluster", noise.otherwise(name_of)).drop("_names")
+    if not pairs:
+        return df.withColumn("cluster", noise)
+    return df.withColumn("cluster", noise.otherwise(F.try_element_at(F.create_map(*pairs), F.col("cluster_id"))))
+
+
+def nearest_center(centers: list, columns: list[str]) -> Column:
+    """Index of the nearest of a few centres, as a built-in expression."""
+    def squared(center) -> Column:
+        return sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(columns, center)), F.lit(0.0))
+
+    distances = F.array(*[squared(c) for c in centers])
+    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
 def kmeans_segments(
@@ -93,9 +100,8 @@ def kmeans_segments(
         raise ValueError(f"{rows} offers are too few for {k} clusters")
     model = best_kmeans(distinct, k, restarts, seed)
     names = [f"x{i}" for i in range(len(features))]
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(points)
-    placed = model.transform(assembled).select(*df.columns, "cluster_id")
-    return name_clusters(placed)
+    placed = points.withColumn("cluster_id", nearest_center(model.clusterCenters(), names))
+    return name_clusters(placed.select(*df.columns, "cluster_id"))
 
 
 def _cluster_moments(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,8 +216,7 @@ def neighbour_eps(df: DataFrame, min_samples: int = 5, percentile: float = 50.0,
     Exact over all rows: copies of a value count, so the neighbour is found
     among the nearest distinct values and their running counts.
     """
-    ready = scaled(df, ["log_price"], digits=None)
-    counts = value_counts(ready, [], "log_price_scaled")
+    counts = value_counts(kmeans_points(df, ["log_price"]), [], "x0")
     # nearest distinct values: at most min_samples-1 on either side can matter
     reach = min_samples - 1
     numbered = number_values(counts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .distribution import attach, quantiles
-from .scaling import scaled
+from .scaling import fixed_scaled
 
 ANOMALY_FEATURES = ["log_price", "ram_gb", "storage_gb", "cpu_score"]
 
@@ -17,13 +17,8 @@ def feature_names(df: DataFrame, features: list[str] | None = None) -> list[str]
 
 def with_vectors(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     """Add imputed robust-scaled features as f0, f1, ..."""
-    copies = {f"_v_{i}": F.col(c).cast("double") for i, c in enumerate(features)}
     names = [f"f{i}" for i in range(len(features))]
-    ready = scaled(df.withColumns(copies), list(copies), digits=None).drop(*copies)
-    # adding zero folds -0.0 into 0.0, so equal vectors have equal keys
-    return ready.withColumns({f: F.col(f"_v_{i}_scaled") + 0.0 for i, f in enumerate(names)}).drop(
-        *[f"_v_{i}_scaled" for i in range(len(names))]
-    ), names
+    return fixed_scaled(df, {f"v{i}": F.col(c) for i, c in enumerate(features)}, names), names
 
 
 def distinct_vectors(points: DataFrame, names: list[str]) -> DataFrame:

@@ -237,7 +237,7 @@ register("band_quality", lambda s, d: segments.band_quality(banded(s, d)))
 register("band_summary", lambda s, d: segments.cluster_summary(banded(s, d)))
 register("band_table", lambda s, d: segments.cluster_table(banded(s, d)))
 register("kmeans_summary", lambda s, d: segments.cluster_summary(segments.kmeans_segments(laptops(s, d))))
-register("k_scores", lambda s, d: segments.score_k(laptops(s, d)))
+register("k_scores", lambda s, d: segments.score_k(laptops(s, d), restarts=4))
 register("cluster_names", lambda s, d: segments.name_clusters(laptops(s, d).select(
     "id", "link", "price", (F.col("id") % 7 - 1).cast("int").alias("cluster_id"))))
 register("detect_iqr", lambda s, d: anomaly.detect_iqr(laptops(s, d), 0.7).select("id", "link", "price", "anomaly_iqr", "anomaly_iqr_type"))

@@ -159,11 +159,15 @@ def read_cards(pages: DataFrame, shop: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [
-                {"url": url, "place": i, **card}
+            found = [
+                (url, i, *[card.get(f) for f in FIELDS])
                 for url, html in zip(pdf["url"], pdf["html"]) for i, card in enumerate(reader(Page(html).root))
             ]
-            yield pd.DataFrame(rows, columns=["url", "place", *FIELDS])
+            names = ["url", "place", *FIELDS]
+            columns = zip(*found) if found else [[] for _ in names]
+            yield pd.DataFrame({
+                n: pd.Series(list(v), dtype="int32" if n == "place" else object) for n, v in zip(names, columns)
+            })
 
     return pages.select("url", "html").mapInPandas(run, CARD_SCHEMA)
 

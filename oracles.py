@@ -16,7 +16,7 @@ from offerlens.sources.market import (
 
 def r(x: str, digits: int = 2) -> str:
     """Round to digits with ties to even."""
-    y, s = f"(CAST({x} AS DOUBLE)*1e{digits})", f"1e{digits}"
+    y, s = f"round(CAST({x} AS DOUBLE)*1e{digits}, 6)", f"1e{digits}"
     f = f"floor({y})"
     return f"((CASE WHEN {y}-{f}>0.5 OR ({y}-{f}=0.5 AND {f}%2<>0) THEN {f}+1 ELSE {f} END)/{s})"
 
@@ -477,12 +477,15 @@ ACC_ITEMS = {
     "g": "'is_gaming_str=gaming=' || CASE WHEN is_gaming THEN 'Oui' ELSE 'Non' END",
 }
 add("accessory_rules", ACC + ", " + mined(ACC_ITEMS, "accessories", 0.05, 0.5, 1.0), "SELECT * FROM rules")
-NUMBERED = ", la AS (SELECT *, row_number() OVER (ORDER BY {0}) AS k FROM laptops), ac AS (SELECT *, row_number() OVER (ORDER BY {0}) AS k FROM accessories)"
 X_ITEMS = {
     "a": "'laptop_price_category=' || price_category", "b": "'laptop_brand_detected=' || brand_detected",
     "c": "'laptop_is_gaming=' || CASE WHEN lg THEN 'True' ELSE 'False' END", "d": "'acc_accessory_category=' || accessory_category",
     "e": "'acc_price_range=' || price_range",
 }
+PAIRED = f""", la AS (SELECT price_category, brand_detected, is_gaming AS lg, row_number() OVER (ORDER BY {digest(42)}, link, title, price, source) AS k FROM laptops),
+ac AS (SELECT accessory_category, price_range, row_number() OVER (ORDER BY {digest(42)}, link, title, price, source) AS k FROM accessories),
+paired AS (SELECT * FROM la JOIN ac USING (k) WHERE k <= 3000)"""
+add("cross_rules", FEATURES + ", " + ACC + PAIRED + ", " + mined(X_ITEMS, "paired", 0.05, 0.4, 1.0), "SELECT * FROM rules")
 BEST = "ORDER BY {} DESC, antecedent, consequent LIMIT {}"
 add("rules_by_consequent", LAP_RULES, f"SELECT * FROM rules WHERE regexp_matches(consequent, '(?i)GPU') {BEST.format('lift', 10)}")
 add("best_rules", LAP_RULES, f"SELECT * FROM rules {BEST.format('lift', 20)}")
