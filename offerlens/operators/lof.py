@@ -99,7 +99,11 @@ def near_profiles(vectors: DataFrame, profiles: DataFrame, k: int, seeds: bool)
                         out_c.append(c)
                         out_q.append(spots[order[at]].tolist())
                         out_d.append(d[at])
-            yield pd.DataFrame({"p": out_p, "x": out_x, "c": out_c, "q": out_q, "d": out_d})
+            yield pd.DataFrame({
+                "p": pd.Series(out_p, dtype=object), "x": pd.Series(out_x, dtype=float),
+                "c": pd.Series(out_c, dtype="int64"), "q": pd.Series(out_q, dtype=object),
+                "d": pd.Series(out_d, dtype=float),
+            })
 
     return vectors.mapInPandas(run, PAIRS)
 
