@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.features import basket_price_category, item, price_range, yes_no
 from ..functions.numeric import half_even
+from ..session import materialize
 from .sampling import paired
 
 LAPTOP_ITEMS = ["brand_detected", "price_category", "is_gaming", "has_gpu", "cluster"]
@@ -108,8 +109,10 @@ def association_rules(itemsets: DataFrame, confidence: float = 0.6, lift: float
 
 
 def _rules(df: DataFrame, columns: list[str], support: float, confidence: float, lift: float, max_len: int = 3):
-    counted = baskets(df, columns)
-    return association_rules(frequent_itemsets(counted, adapted_support(counted, support), max_len), confidence, lift)
+    # distinct baskets and frequent itemsets are small and read several times: write each once
+    counted = materialize(baskets(df, columns))
+    itemsets = materialize(frequent_itemsets(counted, adapted_support(counted, support), max_len))
+    return association_rules(itemsets, confidence, lift)
 
 
 def _available(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]]:

@@ -238,31 +238,34 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     Each pair is collapsed to distinct value pairs before ranking. The number
     of pairs is fixed by the column list, not by the data.
     """
+    names = list(combinations(columns, 2))
     pairs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"),
-                 F.col(b).cast("double").alias("y"))
-        for a, b in combinations(columns, 2)
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(names)
     ]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
     )
-    counts = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    counts = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
 
     def ranks(side: str) -> DataFrame:
-        one = counts.groupBy("a", "b", F.col(side).alias("v")).agg(F.sum("c").alias("c"))
-        return average_ranks(one, ["a", "b"]).select(
-            "a", "b", F.col("v").alias(side), F.col("rank").alias(f"r{side}"), *(["n"] if side == "x" else [])
+        one = counts.groupBy("pair", F.col(side).alias("v")).agg(F.sum("c").alias("c"))
+        return average_ranks(one, ["pair"]).select(
+            "pair", F.col("v").alias(side), F.col("rank").alias(f"r{side}"), *(["n"] if side == "x" else [])
         )
 
-    both = counts.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
+    both = counts.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
     middle = (F.col("n") + 1) / 2
     dx, dy = F.col("rx") - middle, F.col("ry") - middle
-    sums = both.groupBy("a", "b").agg(
+    sums = both.groupBy("pair").agg(
         F.sum(F.col("c") * dx * dy).alias("xy"), F.sum(F.col("c") * dx * dx).alias("xx"),
         F.sum(F.col("c") * dy * dy).alias("yy"), F.max("n").alias("n"),
     )
     spread = F.sqrt(F.col("xx") * F.col("yy"))
-    return sums.select("a", "b", F.when(spread > 0, F.col("xy") / spread).alias("rho"), "n")
+    left, right = (F.get(F.array(*[F.lit(n[i]) for n in names]), F.col("pair")) for i in (0, 1))
+    return sums.select(
+        left.alias("a"), right.alias("b"), F.when(spread > 0, F.col("xy") / spread).alias("rho"), "n"
+    )
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
