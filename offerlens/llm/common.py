@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from offerlens.session import ensure_checkpoint_dir
@@ -39,3 +42,25 @@ def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, so that tasks reuse what earlier tasks made."""
     home = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
     return home.__dict__.setdefault(name, {})
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal keys, over batch borders; rows must arrive sorted by ``keys``."""
+    held, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if parts and key != held:
+                yield held, pa.Table.from_batches(parts)
+                parts = []
+            held = key
+            parts.append(batch.slice(a, z - a))
+    if parts:
+        yield held, pa.Table.from_batches(parts)
