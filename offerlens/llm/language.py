@@ -71,7 +71,7 @@ def char_grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np
 
 def slot(codes: np.ndarray, bits: int) -> np.ndarray:
     """Hash of n-grams given as one row per character, newest first."""
-    h = np.full(codes.shape[1], U(len(codes)) * U(0x9E3779B97F4A7C15), dtype=U)
+    h = np.full(codes.shape[1], U(len(codes) * 0x9E3779B97F4A7C15 % 2**64), dtype=U)
     for k, row in enumerate(codes):
         h += row * STEP[k]
     return (mix(h) >> U(64 - bits)).astype(np.uint32)
