@@ -22,6 +22,13 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract, train_labeller
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train_labeller(pages)).drop("n_blocks", "kept_blocks")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -77,6 +84,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_mixing": op5_mixing,
