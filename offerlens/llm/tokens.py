@@ -2,22 +2,33 @@
 
 The byte-level vocabulary's pattern never lets a part cross a space that stands before a non-space: such a space opens
 the next part, and what is left of it ends before it. So a text's ids are those of its space-led chunks, one after the
-other. Texts in which a space is followed by white space or the end are encoded whole.
+other. Texts in which a space is followed by white space or the end are encoded whole. A chunk of plain Latin letters is
+one part of the pattern, and so are a point or comma and a line break after one; such parts go straight to the model.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 from .common import worker_cache
 
+#: Latin letters, and chunks that are made of whole parts of the pattern.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(rf"( ?[{_L}]+)([.,]?)(?:(\n)([{_L}]+)([.,]?))?")
+
 CACHED = 600_000  # chunks kept by a worker; the cache starts anew when full
 
 
+def _shown_bytes() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def token_bytes(path: str) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian unsigned 32-bit integers."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,22 +41,42 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
         home["chunks"] = {}
     tokenizer, chunks = home["tokenizer"], home["chunks"]
     odd = re.compile(r" (?:\s|\Z)")
-    as_bytes = lambda e: np.array(e.ids, dtype="<u4").tobytes()
+    as_bytes = lambda ids: array("I", ids).tobytes()
+    model, shown = tokenizer.model, home.setdefault("shown", _shown_bytes())
+
+    def part(x: str) -> bytes:
+        """Ids of one part of the pattern."""
+        if x not in parts_seen:
+            parts_seen[x] = as_bytes([t.id for t in model.tokenize(x.encode().decode("latin-1").translate(shown))])
+        return parts_seen[x]
+
+    parts_seen = home.setdefault("parts", {})
+
+    def learn(new: list[str]) -> None:
+        if len(chunks) + len(new) > CACHED:
+            chunks.clear()
+        if len(parts_seen) > CACHED:
+            parts_seen.clear()
+        rest = []
+        for x in new:
+            if m := PLAIN.fullmatch(x):
+                chunks[x] = b"".join(part(y) for y in m.groups() if y)
+            else:
+                rest.append(x)
+        if rest:
+            chunks.update(zip(rest, (as_bytes(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode(text: str) -> bytes:
-        if odd.search(text):
-            return as_bytes(tokenizer.encode(text, add_special_tokens=False))
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if parts is None:
-            return as_bytes(tokenizer.encode(text, add_special_tokens=False))
+        if "\0" in text or odd.search(text):
+            return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+        split = text.replace(" ", "\0 ").split("\0")
         try:
-            return b"".join(map(chunks.__getitem__, parts))
+            return b"".join(map(chunks.__getitem__, split))
         except KeyError:
-            new = [x for x in dict.fromkeys(parts) if x not in chunks]
-            if len(chunks) + len(new) > CACHED:
-                chunks.clear()
-                new = list(dict.fromkeys(parts))
-            chunks.update(zip(new, map(as_bytes, tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-            return b"".join(map(chunks.__getitem__, parts))
+            own = list(dict.fromkeys(split))
+            learn([x for x in own if x not in chunks])
+            if any(x not in chunks for x in own):  # the cache has just begun anew
+                learn([x for x in own if x not in chunks])
+            return b"".join(map(chunks.__getitem__, split))
 
     return encode
