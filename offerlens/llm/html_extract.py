@@ -124,9 +124,9 @@ def page_maker(words: list[str], seed: int):
             elif u < 0.42:
                 parts.append(f'<p>{prose(5, 30)} <a href="/x">{phrase(1, 5)}</a> {prose(3, 60)}</p>')
             else:
-                parts.append(f"<p>{prose(2, 25) if r.random() < 0.3 else prose(20, 200)}</p>")
+                parts.append(f"<p>{prose(*pick([(1, 2), (1, 6), (3, 25), (20, 90), (20, 200), (40, 200)]))}</p>")
             labels.append(True)
-            if r.random() < 0.05:
+            if r.random() < 0.1:
                 put(pick(["ad", "aside", "notice", "form"]))
         if r.random() < 0.12:
             put(pick(["comments", "aside"]))
@@ -145,7 +145,7 @@ def own_labels(blocks: list[Block]) -> np.ndarray | None:
     return np.array([bool(INSIDE.intersection(b.path)) and not OUTSIDE.intersection(b.path[max(map(b.path.index, INSIDE.intersection(b.path))) :]) for b in blocks])
 
 
-def train_labeller(pages: DataFrame, *, made: int = 500, sample: int = 150, sample_chars: int = 20_000, epochs: int = 14, seed: int = 4) -> Labeller:
+def train_labeller(pages: DataFrame, *, made: int = 900, sample: int = 150, sample_chars: int = 20_000, epochs: int = 14, seed: int = 4) -> Labeller:
     """Labeller trained on ``made`` generated pages and at most ``sample`` pages of ``pages`` (their first ``sample_chars`` characters)."""
     rows = pages.where("html is not null")
     total = rows.count()
