@@ -72,12 +72,11 @@ def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         yield head, block
 
 
-def train_dictionary(pages: DataFrame, sample: int, sample_chars: int, size: int) -> bytes:
-    """Dictionary from a bounded, seeded sample of records: at most ``sample`` pages, ``sample_chars`` characters of each."""
-    rows = (
-        pages.select("page_id", "url", F.substring("html", 1, sample_chars).alias("html"), F.xxhash64(F.lit(5), "page_id", "url").alias("h"))
-        .orderBy("h").limit(sample).collect()
-    )
+def train_dictionary(pages: DataFrame, total: int, sample: int, sample_chars: int, size: int) -> bytes:
+    """Dictionary from a bounded, seeded sample of ``total`` records: at most ``sample`` pages, ``sample_chars`` characters of each."""
+    near = F.pmod(F.xxhash64(F.lit(5), "page_id", "url"), F.lit(1_000_000_000))
+    few = pages.where(near < F.lit(min(1_000_000_000, 1 + 4_000_000_000 * sample // max(1, total))))  # about four times the sample
+    rows = few.select("page_id", "url", F.substring("html", 1, sample_chars).alias("html")).orderBy(near).limit(sample).collect()
     records = []
     for r in rows:
         raw = r["html"].encode()
@@ -141,9 +140,9 @@ def write_warc(
     rows = pages.select(
         F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html")
     )
-    dictionary = train_dictionary(rows, sample, sample_chars, dictionary_bytes)
     digests = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha1"), F.octet_length("html").alias("size"))
-    total = digests.agg(F.sum("size")).first()[0] or 0
+    count, total = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    dictionary = train_dictionary(rows, count, sample, sample_chars, dictionary_bytes)
     groups = digests.where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     revisits = digests.join(groups.where("n > 1"), ["sha1", "size"]).where("page_id <> refers_to").groupBy("page_id", "sha1").agg(F.max("refers_to").alias("refers_to"))
     n = max(1, -(-total // archive_bytes))
