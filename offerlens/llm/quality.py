@@ -132,11 +132,11 @@ def _measure(min_repeat: int, max_fraction: float, max_longest: int):
 
 
 def quality_rules(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_fraction: float = 0.25, max_longest: int = 200
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 4, max_fraction: float = 0.5, max_longest: int = 64
 ) -> DataFrame:
     """Per row: counts, base_failed, kept, covered_words, longest_repeat and spans (words that lie in repeats).
 
-    ``min_repeat``: words of a repeated substring that counts. Kept: the base rules hold, repeats cover at most
+    ``min_repeat``: words of a repeated substring that counts (the base rules count windows of eight). Kept: the base rules hold, repeats cover at most
     ``max_fraction`` of the words and none is longer than ``max_longest``. A null or empty text has no words and fails the
     base rules. Every row is judged by itself, so repeated rows get equal results; a null doc_id stays null. Words are
     compared by 64-bit hashes. Memory of a task: one batch, or one text if that is longer. Other columns are ignored.
