@@ -7,7 +7,8 @@ n-grams and of contexts with a value per language. A hash has ``hash_bits`` bits
 2 * order * 2 ** hash_bits rows of 4 * languages + 4 bytes, whatever the corpus; that is what is broadcast.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected when that lies above what the
-language's own training texts show, by more than ``z`` deviations for its length.
+language's own training texts show, by more than ``slack`` nats and ``z`` deviations for its length: texts that mix two
+learned languages stay, texts in none of them go.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     return np.add.reduceat(logs, starts, axis=0)
 
 
-def _identify(model: Model, keep: list[str], text_col: str = "text", z: float = 6.0, spread: float = 3.0, sharp: float = 12.0):
+def _identify(model: Model, keep: list[str], text_col: str = "text", z: float = 6.0, slack: float = 0.8, spread: float = 3.0, sharp: float = 12.0):
     count = len(model.languages)
 
     def of(texts: list[str | None]) -> tuple[list, ...]:
@@ -244,7 +245,7 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", z: float =
             scores.append(float(1 / np.exp(sharp * (mean - mean[best])).sum()))
             entropies.append(float(-mean[best]))
             letters.append(int(n))
-            accepted.append(bool(-mean[best] <= mu + z * np.sqrt(sigma**2 + spread**2 / n)))
+            accepted.append(bool(-mean[best] <= mu + slack + z * np.sqrt(sigma**2 + spread**2 / n)))
         return langs, scores, entropies, letters, accepted
 
     kinds = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_letters", pa.int64()), ("_accepted", pa.bool_())]
@@ -259,7 +260,7 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", z: float =
     return identify_batches
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", z: float = 6.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", z: float = 6.0, slack: float = 0.8) -> DataFrame:
     """Every row with all its columns, and _lang, _score (0 to 1), _entropy, _letters, _accepted.
 
     Null texts and texts without a letter get ``und``, score 0, and are not accepted; so does everything if nothing was
@@ -272,6 +273,6 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", z: float
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # arrays and names only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _identify(Model(**shared.value), keep, text_col, z)(batches)
+        yield from _identify(Model(**shared.value), keep, text_col, z, slack)(batches)
 
     return rows.mapInArrow(run, f"{fields}, {added}")
