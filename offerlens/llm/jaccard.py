@@ -26,7 +26,7 @@ from .components import components
 from .shingles import U, distinct_grams, gram_hashes, mix, slices, word_hashes
 
 NULL_ID = -(2**63)
-BLOCK_GRAMS, BLOCK_SETS = 2_000_000, 1024  # of one side of a block pair
+BLOCK_GRAMS, BLOCK_SETS = 1_000_000, 384  # of one side of a block pair
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 256) -> tuple[int, int]:
@@ -204,7 +204,8 @@ def jaccard_join(
         F.ceil(F.sum("n_grams") / block_grams), F.ceil(F.count(F.lit(1)) / block_sets)
     ).cast("int").alias("parts"))
     members = stored(members.join(sizes, "cluster").select(F.col("rep").alias("doc_id"), "node", "copies", "cluster", "parts"), "jaccard-members")
-    sets = texts.join(members, "doc_id").mapInArrow(_sets(n), "cluster long, node long, copies long, parts int, grams array<long>")
+    # always by a shuffle of both sides: a plan that only small inputs get would say nothing about large ones
+    sets = texts.join(members.hint("merge"), "doc_id").mapInArrow(_sets(n), "cluster long, node long, copies long, parts int, grams array<long>")
     block = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int")
     dealt = sets.withColumn("block", block).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
