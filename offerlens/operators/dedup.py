@@ -56,7 +56,7 @@ def dedup_display(df: DataFrame, order: list[str]) -> DataFrame:
     return keep_first(df, {"title": shorten(F.col("title"), 60), "price": F.col("price")}, order, newest=False)
 
 
-def crawl_dedup(df: DataFrame, order: list[str], max_rounds: int = 1000) -> DataFrame:
+def crawl_dedup(df: DataFrame, order: list[str]) -> DataFrame:
     """Keep an offer unless a kept earlier one has its link or its normalised title.
 
     A dropped offer reserves neither its link nor its title, so the rule reads
@@ -71,7 +71,7 @@ def crawl_dedup(df: DataFrame, order: list[str], max_rounds: int = 1000) -> Data
     # later copies of the same (link, title) never survive: collapse them first
     open_pairs = materialize(offers.groupBy("link", "_title").agg(F.min("_at").alias("_at")))
     kept_rounds: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         by_link = open_pairs.groupBy("link").agg(F.min("_at").alias("_first_link"))
         by_title = open_pairs.groupBy("_title").agg(F.min("_at").alias("_first_title"))
         same_link = open_pairs["link"].eqNullSafe(by_link["link"])
@@ -91,8 +91,6 @@ def crawl_dedup(df: DataFrame, order: list[str], max_rounds: int = 1000) -> Data
         open_pairs = materialize(rest)
         if open_pairs.isEmpty():
             break
-    else:
-        raise RuntimeError("conflict chains are longer than max_rounds")
     survivors = kept_rounds[0]
     for kept in kept_rounds[1:]:
         survivors = survivors.unionByName(kept)

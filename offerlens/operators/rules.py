@@ -42,25 +42,23 @@ def adapted_support(counted: DataFrame, base: float) -> Column:
 
 
 def _combinations(items: Column, size: int) -> Column:
-    """All sorted sub-arrays of a size from 1 to 3."""
+    """All sorted sub-arrays of a size of at least 1."""
     if size == 1:
         return F.transform(items, lambda x: F.array(x))
     count = F.size(items)
     rest = lambda i: F.slice(items, i + 2, F.greatest(count - i - 1, F.lit(0)))
-    if size == 2:
-        return F.flatten(F.transform(items, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
     return F.flatten(F.transform(
-        items, lambda x, i: F.transform(_combinations(rest(i), 2), lambda pair: F.concat(F.array(x), pair))
+        items, lambda x, i: F.transform(_combinations(rest(i), size - 1), lambda others: F.concat(F.array(x), others))
     ))
 
 
 def frequent_itemsets(counted: DataFrame, support: Column | float, max_len: int = 3) -> DataFrame:
-    """(items, support) of all itemsets up to ``max_len`` (at most 3) items with enough support.
+    """(items, support) of all itemsets up to ``max_len`` items with enough support.
 
     Baskets are cut to frequent items before larger sets are formed.
     """
-    if not 1 <= max_len <= 3:
-        raise ValueError("max_len is 1, 2 or 3")
+    if max_len < 1:
+        raise ValueError("max_len is at least 1")
     full = counted.where(F.size("items") > 0)
     rows = full.agg(F.sum("c")).scalar()
     limit = support if isinstance(support, Column) else F.lit(float(support))
@@ -81,15 +79,13 @@ def frequent_itemsets(counted: DataFrame, support: Column | float, max_len: int
     return singles.unionByName(counted_sets(cut, larger))
 
 
-def association_rules(itemsets: DataFrame, confidence: float = 0.6, lift: float = 1.0) -> DataFrame:
-    """Rules from every split of every itemset into antecedent and consequent."""
-    whole = itemsets.where(F.size("items") > 1)
-    sides = F.concat(
-        _combinations(F.col("items"), 1),
-        F.when(F.size("items") > 2, _combinations(F.col("items"), 2)).otherwise(
-            F.array().cast("array<array<string>>")
-        ),
-    )
+def association_rules(itemsets: DataFrame, confidence: float = 0.6, lift: float = 1.0, max_len: int = 3) -> DataFrame:
+    """Rules from every split of every itemset, of ``max_len`` items at most, into antecedent and consequent."""
+    whole = itemsets.where((F.size("items") > 1) & (F.size("items") <= max_len))
+    none = F.array().cast("array<array<string>>")
+    sides = F.concat(none, *[
+        F.when(F.size("items") > n, _combinations(F.col("items"), n)).otherwise(none) for n in range(1, max_len)
+    ])
     split = whole.select("items", "support", F.explode(sides).alias("a")).withColumn(
         "b", F.array_except("items", "a")
     )
@@ -149,10 +145,10 @@ def accessory_rules(
 
 
 def cross_rules(
-    laptops: DataFrame, accessories: DataFrame, size: int = 3000, support: float = 0.05, confidence: float = 0.4,
+    laptops: DataFrame, accessories: DataFrame, size: int | None = None, support: float = 0.05, confidence: float = 0.4,
     lift: float = 1.0, seed: int = 42,
 ) -> DataFrame:
-    """Rules over laptop and accessory rows paired by place in two independent samples.
+    """Rules over laptop and accessory rows paired by place in two independent orders, or in samples of ``size`` rows.
 
     The pairing carries no information: rules show coincidence of frequent values.
     """

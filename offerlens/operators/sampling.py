@@ -25,14 +25,29 @@ def numbered(df: DataFrame, size: int, columns: list[str], seed: int = 42) -> Da
     return sample.withColumn("row", F.row_number().over(order)).drop("_h")
 
 
-def paired(left: DataFrame, right: DataFrame, size: int, identity: list[str], seed: int = 42) -> DataFrame:
-    """Row i of a sample of one table beside row i of a sample of the other.
+def all_numbered(df: DataFrame, columns: list[str], seed: int = 42) -> DataFrame:
+    """All rows with numbers 1..n in hash order.
+
+    Rows are numbered inside 4096 ranges of the hash and shifted by the ranges' totals, so no task numbers them all.
+    """
+    keyed = df.withColumn("_h", hash_key(columns, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    lower = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_off"))
+    rest = [c for c in df.columns if c not in columns]
+    inside = Window.partitionBy("_b").orderBy("_h", *columns, *rest)
+    return keyed.withColumn("_i", F.row_number().over(inside)).join(offsets, "_b").withColumn("row", F.col("_off") + F.col("_i")).select(*df.columns, "row")
+
+
+def paired(left: DataFrame, right: DataFrame, size: int | None, identity: list[str], seed: int = 42) -> DataFrame:
+    """Row i of one table beside row i of the other in hash order, of all rows or of samples of ``size``.
 
     ``identity`` names the columns that tell rows apart; they are dropped.
     """
-    a = numbered(left, size, [c for c in identity if c in left.columns], seed).drop(*identity)
-    b = numbered(right, size, [c for c in identity if c in right.columns], seed).drop(*identity)
-    return a.join(b, "row").drop("row")
+    def placed(df: DataFrame) -> DataFrame:
+        names = [c for c in identity if c in df.columns]
+        return (all_numbered(df, names, seed) if size is None else numbered(df, size, names, seed)).drop(*identity)
+
+    return placed(left).join(placed(right), "row").drop("row")
 
 
 def every_nth(df: DataFrame, about: int, order: list[str]) -> DataFrame:

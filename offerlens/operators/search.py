@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.features import rule_label
 
@@ -39,10 +39,18 @@ def page_of(df: DataFrame, page: int, limit: int) -> DataFrame:
     return df.orderBy(*newest_first(df)).offset((page - 1) * limit).limit(limit)
 
 
-def page_after(df: DataFrame, last_id: int, limit: int) -> DataFrame:
-    """Next page by key range: reads only ids below the last one seen."""
-    below = df.where(F.col("id") < last_id)
-    return below.orderBy(*newest_first(df)).limit(limit)
+def page_after(df: DataFrame, last: Row, limit: int) -> DataFrame:
+    """Next page by key range: rows that come after ``last``, a row of ``df``, in the order of ``page_of``.
+
+    The whole row is compared, so rows that share its id are not passed over; equal rows count as one.
+    """
+    beyond, same = F.lit(False), F.lit(True)
+    for c in ["id", *[c for c in df.columns if c != "id"]]:
+        x, v = F.col(c), F.lit(last[c]).cast(df.schema[c].dataType)
+        # descending order puts missing values last
+        beyond = beyond | (same & F.coalesce(x < v, v.isNotNull() & x.isNull()))
+        same = same & x.eqNullSafe(v)
+    return df.where(beyond).orderBy(*newest_first(df)).limit(limit)
 
 
 def page_counts(df: DataFrame, limit: int) -> DataFrame:

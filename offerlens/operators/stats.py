@@ -313,14 +313,13 @@ def anomaly_bands(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*bands).alias("bands")).select(F.explode("bands").alias("x")).select("x.*")
 
 
-def dashboard(df: DataFrame, flag: str, top_brands: int = 10) -> DataFrame:
-    """One row: offers, median price, listed brands and anomalies."""
+def dashboard(df: DataFrame, flag: str) -> DataFrame:
+    """One row: offers, median price, brands and anomalies."""
     brands = brand_column(df)
     median = quantiles(df, [], "price", {"median": 0.5}).scalar()
-    listed = df.where(F.col(brands).isNotNull()).select(brands).distinct().limit(top_brands).agg(F.count(F.lit(1)))
-    return df.agg(F.count("price").alias("offers"), F.count_if(F.col(flag)).alias("anomalies")).select(
-        "offers", half_even(median, 2).alias("median_price"), listed.scalar().alias("brands"), "anomalies"
-    )
+    return df.agg(
+        F.count("price").alias("offers"), F.count_distinct(brands).alias("brands"), F.count_if(F.col(flag)).alias("anomalies")
+    ).select("offers", half_even(median, 2).alias("median_price"), "brands", "anomalies")
 
 
 def radar(df: DataFrame, axes: list[str], key: str = "cluster") -> DataFrame:

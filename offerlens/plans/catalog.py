@@ -11,7 +11,9 @@ from ..operators import (
     anomaly, clean, dedup, distribution, enrich, history, iforest, lof, projection, rules, sampling, scaling, search,
     segments, stats,
 )
+from ..session import shared_folder
 from ..sources import cards, market, offers, snapshots, terms
+from ..streaming import offers as offer_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,7 +126,14 @@ register("search_offers", lambda s, d: search.search_offers(laptops(s, d), "gami
 register("search_accessories", lambda s, d: search.search_offers(accessories(s, d).withColumn(
     "category", F.col("accessory_category")), "usb", search.ACCESSORY_COLUMNS).select("id", "title", "category", "price"))
 register("page_of_offers", lambda s, d: search.page_of(laptops(s, d).select("id", "link", "title", "price"), 3, 20))
-register("page_after_offer", lambda s, d: search.page_after(laptops(s, d).select("id", "link", "title", "price"), 50000, 20))
+@query
+def page_after_offer(spark: SparkSession, sf: str) -> DataFrame:
+    """The page after the second one, from that one's last row."""
+    df = laptops(spark, sf).select("id", "link", "title", "price")
+    seen = search.page_of(df, 2, 20).collect()
+    return search.page_after(df, seen[-1], 20)
+
+
 register("page_counts", lambda s, d: search.page_counts(laptops(s, d), 20))
 register("filter_products", lambda s, d: search.filter_products(
     market.market_products(s, d), market.market_prices(s, d), "ECONOMY", None, 100000.0, 2000.0))
@@ -186,6 +195,17 @@ def price_drops(spark: SparkSession, sf: str) -> DataFrame:
 
 register("drops_over_time", lambda s, d: history.drops_over_time(
     market.price_events(s, d), "user_id", "ts", "price", ("event_id",)))
+@query
+def price_drops_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """``drops_over_time`` by the stream, over all events that are there now."""
+    folder = shared_folder(spark, "price-drops")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumnRenamed("value", "price")
+    names = {"key": "user_id", "at": "ts", "price": "price", "tie": ("event_id",)}
+    offer_streams.price_drop_stream(events, folder, f"{folder}/checkpoint", **names).awaitTermination()
+    return offer_streams.finish_drops(spark, folder, **names)
+
+
 register("previous_price", lambda s, d: history.previous_price(
     market.price_events(s, d), "user_id", "ts", "price", ("event_id",)))
 register("product_history", lambda s, d: history.product_history(
@@ -237,7 +257,7 @@ register("band_quality", lambda s, d: segments.band_quality(banded(s, d)))
 register("band_summary", lambda s, d: segments.cluster_summary(banded(s, d)))
 register("band_table", lambda s, d: segments.cluster_table(banded(s, d)))
 register("kmeans_summary", lambda s, d: segments.cluster_summary(segments.kmeans_segments(laptops(s, d))))
-register("k_scores", lambda s, d: segments.score_k(laptops(s, d), restarts=4))
+register("k_scores", lambda s, d: segments.score_k(laptops(s, d)))
 register("cluster_names", lambda s, d: segments.name_clusters(laptops(s, d).select(
     "id", "link", "price", (F.col("id") % 7 - 1).cast("int").alias("cluster_id"))))
 register("detect_iqr", lambda s, d: anomaly.detect_iqr(laptops(s, d), 0.7).select("id", "link", "price", "anomaly_iqr", "anomaly_iqr_type"))

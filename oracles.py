@@ -205,8 +205,8 @@ add("search_offers", FEATURES, """SELECT id, title, price FROM laptops WHERE low
 add("search_accessories", ACC, """SELECT id, title, accessory_category AS category, price FROM accessories
   WHERE concat_ws(chr(10), lower(title), lower(brand), lower(search_query), lower(accessory_category)) LIKE '%usb%'""")
 add("page_of_offers", FEATURES, "SELECT id, link, title, price FROM laptops ORDER BY id DESC, link DESC, title DESC, price DESC LIMIT 20 OFFSET 40")
-add("page_after_offer", FEATURES, """SELECT id, link, title, price FROM laptops WHERE id < 50000
-  ORDER BY id DESC, link DESC, title DESC, price DESC LIMIT 20""")
+add("page_after_offer", FEATURES, """SELECT DISTINCT * FROM (SELECT id, link, title, price FROM laptops)
+  ORDER BY id DESC, link DESC, title DESC, price DESC LIMIT 20 OFFSET 40""")
 add("page_counts", FEATURES, """SELECT count(*) AS total, count(*) // 20 + CAST(count(*) % 20 > 0 AS BIGINT) AS pages,
   greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages_min_one FROM laptops""")
 add("filter_products", f"products AS ({PRODUCTS_SQL}), prices AS ({PRICES_SQL})", """SELECT DISTINCT p.* FROM products p
@@ -259,6 +259,7 @@ add("previous_price", SEEN, "SELECT * FROM seen")
 add("drops_over_time", SEEN, f"""SELECT user_id, ts, event_id, {r("old_price")} AS old_price, {r("price")} AS new_price,
   {r("old_price - price")} AS diff, {r("(old_price - price) / old_price * 100", 1)} AS percentage FROM seen
   WHERE price > 0 AND price < old_price""")
+ORACLES["price_drops_streamed"] = ORACLES["drops_over_time"]
 add("product_history", f"products AS ({PRODUCTS_SQL}), prices AS ({PRICES_SQL}), h AS (SELECT product_id, "
     "arg_max(price, (scraped_at, price)) AS latest, min(price) AS lo, max(price) AS hi, avg(CAST(price AS DOUBLE)) AS mean FROM prices GROUP BY 1)",
     f"""SELECT p.product_id, title, category, CAST(latest AS DOUBLE) AS latest_price,
@@ -360,7 +361,7 @@ BANDS = " UNION ALL ".join(
 add("anomaly_bands", FEATURES + Z.format("laptops") + """, u AS (SELECT * FROM z WHERE z > 3 QUALIFY row_number() OVER (
   PARTITION BY left(title, 60), price ORDER BY id, title, price, link) = 1)""", BANDS)
 add("dashboard", FEATURES + Z.format("laptops"), f"""SELECT count(price) AS offers, {r(q(0.5))} AS median_price,
-  least(10, count(DISTINCT brand_detected)) AS brands, count(*) FILTER (WHERE z > 3) AS anomalies FROM z""")
+  count(DISTINCT brand_detected) AS brands, count(*) FILTER (WHERE z > 3) AS anomalies FROM z""")
 
 
 def axis(c: str) -> str:
@@ -484,7 +485,7 @@ X_ITEMS = {
 }
 PAIRED = f""", la AS (SELECT price_category, brand_detected, is_gaming AS lg, row_number() OVER (ORDER BY {digest(42)}, link, title, price, source) AS k FROM laptops),
 ac AS (SELECT accessory_category, price_range, row_number() OVER (ORDER BY {digest(42)}, link, title, price, source) AS k FROM accessories),
-paired AS (SELECT * FROM la JOIN ac USING (k) WHERE k <= 3000)"""
+paired AS (SELECT * FROM la JOIN ac USING (k))"""
 add("cross_rules", FEATURES + ", " + ACC + PAIRED + ", " + mined(X_ITEMS, "paired", 0.05, 0.4, 1.0), "SELECT * FROM rules")
 BEST = "ORDER BY {} DESC, antecedent, consequent LIMIT {}"
 add("rules_by_consequent", LAP_RULES, f"SELECT * FROM rules WHERE regexp_matches(consequent, '(?i)GPU') {BEST.format('lift', 10)}")
