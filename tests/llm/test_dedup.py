@@ -199,7 +199,7 @@ def test_exact_dedup_equals_plain_version(spark, key_bits):
 
 def test_directory_doubles_and_finds_every_key():
     keys = np.random.default_rng(8).integers(0, 2**64, 5000, dtype=np.uint64) >> np.uint64(3)
-    keys[:2000] >>= np.uint64(20)  # crowded: one side of the directory splits deeper
+    keys[:2000] >>= np.uint64(3)  # crowded: one side of the directory splits deeper
     index = Directory(capacity=16, skip=2)
     for part in np.split(keys, 10):
         index.insert(part)
