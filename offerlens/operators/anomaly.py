@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.features import shorten
 from ..functions.numeric import half_even
+from .dedup import dedup_display
 from .distribution import attach, quantiles
 
 FLAGS = {
@@ -111,6 +112,14 @@ def anomalies(df: DataFrame, method: str = "iforest", worst_first: bool = False)
     return found.orderBy(F.desc(score) if worst_first and method == "lof" else F.asc(score))
 
 
+def anomaly_list(df: DataFrame, flag: str, order: list[str], category: str | None = None, descending: bool = False) -> DataFrame:
+    """Flagged rows, one per (first 60 title characters, price), of one price category or of all, by price."""
+    found = dedup_display(df.where(F.col(flag)), order)
+    if category is not None:
+        found = found.where(F.col("price_category") == category)
+    return found.orderBy(F.desc("price") if descending else F.asc("price"), *order)
+
+
 def chart_anomalies(df: DataFrame, method: str = "iforest", top: int = 100) -> DataFrame:
     """Cheapest flagged rows for a chart; an unknown method means the isolation forest."""
     flag = {m: FLAGS[m] for m in ("iqr", "zscore", "iforest")}.get(method, FLAGS["iforest"])

@@ -18,6 +18,8 @@ from ..functions.numeric import strip
 from ..functions.titles import crawl_is_gaming, first_word
 
 VOID = {"img", "br", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "track", "wbr"}
+#: Open elements that a start tag ends.
+ENDED_BY = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 FIELDS = ["title", "price_text", "price_label", "old_text", "discount", "href", "image", "image_late"]
 CARD_SCHEMA = "url string, place int, " + ", ".join(f"{f} string" for f in FIELDS)
 
@@ -28,14 +30,29 @@ class Element:
         self.children: list[Element | str] = []
 
     def walk(self):
-        for child in self.children:
+        """Elements below, in document order; a stack of its own, so that nesting may be of any depth."""
+        waiting = self.children[::-1]
+        while waiting:
+            child = waiting.pop()
             if isinstance(child, Element):
                 yield child
-                yield from child.walk()
+                waiting += child.children[::-1]
 
     def text(self) -> str:
-        parts = [c if isinstance(c, str) else c.text() for c in self.children]
-        return "".join(parts).strip()
+        """Text below; each element's own text is trimmed."""
+        done: list[str] = []
+        waiting: list[tuple[Element, int, list[str]]] = [(self, 0, [])]
+        while waiting:
+            element, at, parts = waiting.pop()
+            while at < len(element.children) and isinstance(element.children[at], str):
+                parts.append(element.children[at])
+                at += 1
+            if at < len(element.children):
+                waiting += [(element, at + 1, parts), (element.children[at], 0, [])]
+                continue
+            own = "".join(parts).strip()
+            (waiting[-1][2] if waiting else done).append(own)
+        return done[0]
 
     def has(self, *classes: str) -> bool:
         own = (self.attrs.get("class") or "").split()
@@ -51,7 +68,7 @@ class Element:
 
 
 class Page(HTMLParser):
-    """Element tree of one page; unclosed tags end with their parent."""
+    """Element tree of one page; unclosed tags end with their parent, or where the next of their kind begins."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -60,6 +77,8 @@ class Page(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        if self.at.tag in ENDED_BY.get(tag, ()):
+            self.at = self.at.parent
         new = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(new)
         if tag not in VOID:

@@ -360,6 +360,9 @@ BANDS = " UNION ALL ".join(
     for i, (n, a, z) in enumerate(dims.ANOMALY_BANDS))
 add("anomaly_bands", FEATURES + Z.format("laptops") + """, u AS (SELECT * FROM z WHERE z > 3 QUALIFY row_number() OVER (
   PARTITION BY left(title, 60), price ORDER BY id, title, price, link) = 1)""", BANDS)
+add("anomaly_list", FEATURES + Z.format("laptops") + """, u AS (SELECT * FROM z WHERE z > 3 QUALIFY row_number() OVER (
+  PARTITION BY left(title, 60), price ORDER BY id, title, price, link) = 1)""",
+    "SELECT id, title, price, link, price_category FROM u WHERE price_category = 'entrée_de_gamme'")
 add("dashboard", FEATURES + Z.format("laptops"), f"""SELECT count(price) AS offers, {r(q(0.5))} AS median_price,
   count(DISTINCT brand_detected) AS brands, count(*) FILTER (WHERE z > 3) AS anomalies FROM z""")
 
