@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from .shingles import STEP, U, mix
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+SLICE = 3 << 20  # bytes of text whose words are counted at once
 ALPHABET = 1024  # characters that share the mass of unseen ones
 
 
@@ -251,11 +253,18 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", z: float =
     kinds = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_letters", pa.int64()), ("_accepted", pa.bool_())]
 
     def identify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = of(batch[text_col].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch[c] for c in keep] + [pa.array(x, t) for x, (_, t) in zip(found, kinds, strict=True)], names=keep + [c for c, _ in kinds]
-            )
+        for whole in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole[text_col]), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < whole.num_rows:  # a few MB of text at once: the words of a text take far more memory than the text
+                base = sizes[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
+                batch = whole.slice(lo, hi - lo)
+                found = of(batch[text_col].to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch[c] for c in keep] + [pa.array(x, t) for x, (_, t) in zip(found, kinds, strict=True)], names=keep + [c for c, _ in kinds]
+                )
+                lo = hi
 
     return identify_batches
 
