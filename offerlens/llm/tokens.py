@@ -2,8 +2,8 @@
 
 The byte-level vocabulary's pattern never lets a part cross a space that stands before a non-space: such a space opens
 the next part, and what is left of it ends before it. So a text's ids are those of its space-led chunks, one after the
-other. Texts in which a space is followed by white space or the end are encoded whole. A chunk of plain Latin letters is
-one part of the pattern, and so are a point or comma and a line break after one; such parts go straight to the model.
+other. Texts in which a space is followed by white space or the end are encoded whole. A run of plain Latin letters is
+one part of the pattern, and so are the signs and a line break after one; such parts go straight to the model.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from .common import worker_cache
 
 #: Latin letters, and chunks that are made of whole parts of the pattern.
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-PLAIN = re.compile(rf"( ?[{_L}]+)([.,]?)(?:(\n)([{_L}]+)([.,]?))?")
+_S = r"!-&(-/:-@\[-`{-~"  # ASCII signs but the apostrophe
+PLAIN = re.compile(rf"( ?[{_L}]+)([{_S}]*)(?:(\n)([{_L}]+)([{_S}]*))?")
 
-CACHED = 600_000  # chunks kept by a worker; the cache starts anew when full
+CACHED = 1_000_000  # chunks kept by a worker, at about 200 bytes; the cache starts anew when full
 
 
 def _shown_bytes() -> dict[int, str]:
@@ -46,15 +47,19 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
 
     def part(x: str) -> bytes:
         """Ids of one part of the pattern."""
-        if x not in parts_seen:
-            parts_seen[x] = as_bytes([t.id for t in model.tokenize(x.encode().decode("latin-1").translate(shown))])
-        return parts_seen[x]
+        found = parts_seen.get(x)
+        if found is None:
+            as_shown = "\u0120" + x[1:] if x[0] == " " and x.isascii() else x.encode().decode("latin-1").translate(shown)
+            found = parts_seen[x] = as_bytes([t.id for t in model.tokenize(as_shown)])
+        return found
 
     parts_seen = home.setdefault("parts", {})
 
-    def learn(new: list[str]) -> None:
+    def learn(own: list[str]) -> None:
+        new = [x for x in own if x not in chunks]
         if len(chunks) + len(new) > CACHED:
             chunks.clear()
+            new = own
         if len(parts_seen) > CACHED:
             parts_seen.clear()
         rest = []
@@ -73,10 +78,7 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
         try:
             return b"".join(map(chunks.__getitem__, split))
         except KeyError:
-            own = list(dict.fromkeys(split))
-            learn([x for x in own if x not in chunks])
-            if any(x not in chunks for x in own):  # the cache has just begun anew
-                learn([x for x in own if x not in chunks])
+            learn(list(dict.fromkeys(split)))
             return b"".join(map(chunks.__getitem__, split))
 
     return encode
