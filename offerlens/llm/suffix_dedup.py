@@ -202,9 +202,11 @@ def _scan(parts: int, length: int, seed_bytes: int, hot: int):
             rows.append(_blob(ASKED, turn % parts, doc[asked], h[asked], pos[asked]))
         mark = np.zeros(len(heads), dtype=bool)
         mark[run[count >= hot]] = True
-        sent = heads[~is_hot | mark]
+        marked = np.zeros(len(at), dtype=U)
+        marked[heads[mark]] = 1
+        sent = np.sort(heads[~is_hot | mark])  # as in the texts, so that repeated ids compress
         # the lowest bit of the key says that the piece is hot
-        sent_key = (key[sent] & ~U(1)) | mark[~is_hot | mark].astype(U)
+        sent_key = (key[sent] & ~U(1)) | marked[sent]
         rows += _dealt(ANCHORS, parts, key[sent] >> U(20), doc[sent], h[sent], pos[sent], sent_key, ctx[sent], np.stack([left[sent], right[sent]], axis=1).astype(np.uint8))
         if rows:
             yield _blobs(rows)
