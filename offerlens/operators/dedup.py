@@ -56,7 +56,7 @@ def dedup_display(df: DataFrame, order: list[str]) -> DataFrame:
     return keep_first(df, {"title": shorten(F.col("title"), 60), "price": F.col("price")}, order, newest=False)
 
 
-def crawl_dedup(df: DataFrame, order: list[str]) -> DataFrame:
+def crawl_dedup(df: DataFrame, order: list[str], run: tuple[str, ...] = ()) -> DataFrame:
     """Keep an offer unless a kept earlier one has its link or its normalised title.
 
     A dropped offer reserves neither its link nor its title, so the rule reads
@@ -64,38 +64,62 @@ def crawl_dedup(df: DataFrame, order: list[str]) -> DataFrame:
     first for both its link and its title is kept, open offers that share a
     link or title with a kept one are dropped, the rest stays open. Each round
     decides at least the earliest open offer; chains of conflicts set the
-    number of rounds. ``order`` must be a total order of the offers.
+    number of rounds. ``order`` must be a total order of the offers. Offers of
+    different crawl runs, named by the columns ``run``, do not conflict.
+    Missing links count as equal.
     """
-    first = F.struct(*order)
-    offers = df.withColumn("_title", normalized_title(F.coalesce("title", F.lit("")))).withColumn("_at", first)
+    title = normalized_title(F.coalesce("title", F.lit("")))
+    # structs, since their missing fields compare as equal
+    offers = df.withColumns({
+        "_link": F.struct(*run, "link"), "_title": F.struct(*run, title.alias("name")), "_at": F.struct(*order),
+    })
     # later copies of the same (link, title) never survive: collapse them first
-    open_pairs = materialize(offers.groupBy("link", "_title").agg(F.min("_at").alias("_at")))
+    open_pairs = materialize(offers.groupBy("_link", "_title").agg(F.min("_at").alias("_at")))
     kept_rounds: list[DataFrame] = []
     while True:
-        by_link = open_pairs.groupBy("link").agg(F.min("_at").alias("_first_link"))
+        by_link = open_pairs.groupBy("_link").agg(F.min("_at").alias("_first_link"))
         by_title = open_pairs.groupBy("_title").agg(F.min("_at").alias("_first_title"))
-        same_link = open_pairs["link"].eqNullSafe(by_link["link"])
-        marked = (
-            open_pairs.join(by_link, same_link).drop(by_link["link"])
-            .join(by_title, "_title")
-            .withColumn("_kept", (F.col("_at") == F.col("_first_link")) & (F.col("_at") == F.col("_first_title")))
+        first = (F.col("_at") == F.col("_first_link")) & (F.col("_at") == F.col("_first_title"))
+        kept = materialize(
+            open_pairs.join(by_link, "_link").join(by_title, "_title").where(first).select("_link", "_title", "_at")
         )
-        kept = materialize(marked.where("_kept").select("link", "_title", "_at"))
         kept_rounds.append(kept)
-        links = kept.select(F.col("link").alias("_l")).distinct()
-        titles = kept.select("_title").distinct()
-        rest = (
-            open_pairs.join(links, open_pairs["link"].eqNullSafe(links["_l"]), "left_anti")
-            .join(titles, "_title", "left_anti")
+        open_pairs = materialize(
+            open_pairs.join(kept.select("_link"), "_link", "left_anti").join(kept.select("_title"), "_title", "left_anti")
         )
-        open_pairs = materialize(rest)
         if open_pairs.isEmpty():
             break
     survivors = kept_rounds[0]
     for kept in kept_rounds[1:]:
         survivors = survivors.unionByName(kept)
-    rows = offers.join(survivors.select("_at"), "_at", "left_semi")
-    return rows.drop("_title", "_at")
+    return offers.join(survivors.select("_at"), "_at", "left_semi").select(*df.columns)
+
+
+def crawl_dedup_check(df: DataFrame, order: list[str], run: tuple[str, ...] = ()) -> DataFrame:
+    """One row that is zero but for ``offers`` exactly when ``crawl_dedup`` equals the scan in order.
+
+    No two survivors share a link or a title, and each dropped offer comes
+    after a survivor with its link or title; only one set of survivors
+    fulfils both.
+    """
+    kept = crawl_dedup(df, order, run)
+    title = normalized_title(F.coalesce("title", F.lit(""))).alias("name")
+
+    def earliest(*key: str | Column, name: str) -> DataFrame:
+        return kept.groupBy(F.struct(*run, *key).alias(name)).agg(
+            F.min(F.struct(*order)).alias(f"_first{name}"), F.count(F.lit(1)).alias("_n"))
+
+    by_link, by_title = earliest("link", name="_link"), earliest(title, name="_title")
+    offers = df.select(F.struct(*order).alias("_at"), F.struct(*run, "link").alias("_link"), F.struct(*run, title).alias("_title"))
+    known = offers.join(by_link.drop("_n"), "_link", "left").join(by_title.drop("_n"), "_title", "left")
+    at = F.col("_at")
+    itself = (at == F.col("_first_link")) & (at == F.col("_first_title"))
+    later = (F.col("_first_link") < at) | (F.col("_first_title") < at)
+    unexplained = known.agg(
+        F.count(F.lit(1)).alias("offers"), F.count_if(~F.coalesce(itself, F.lit(False)) & ~F.coalesce(later, F.lit(False))).alias("unexplained"))
+    shared = {name: side.agg(F.count_if(F.col("_n") > 1)).scalar() for name, side in
+              {"shared_links": by_link, "shared_titles": by_title}.items()}
+    return unexplained.select("offers", *[n.alias(name) for name, n in shared.items()], "unexplained")
 
 
 def product_key(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 
 def hash_key(columns: list[str], seed: int = 42) -> Column:
     """Order key of a row: a digest of the seed and the row's columns."""
@@ -51,21 +53,23 @@ def paired(left: DataFrame, right: DataFrame, size: int | None, identity: list[s
 
 
 def every_nth(df: DataFrame, about: int, order: list[str]) -> DataFrame:
-    """Every ⌈n/about⌉-th row in order.
+    """Every ⌈n/about⌉-th row in order, for order columns of any type.
 
-    Positions come from counts of distinct order keys, bucketed by the first
-    order column, so the rows are never numbered in one task.
+    Rows are split into as many ranges of the order as there are shuffle
+    partitions and numbered inside; the ranges' totals shift the numbers. The
+    ranges come from a sample, so they are written once before they are counted.
     """
-    first = order[0]
-    bucket = F.floor(F.col(first).cast("double") / 1000).alias("_b")
-    keyed = df.withColumn("_b", bucket)
+    ranked = [*order, *[c for c in df.columns if c not in order]]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = materialize(df.repartitionByRange(ranges, *ranked).withColumn("_b", F.spark_partition_id()))
     totals = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range, however many rows the table has
     lower = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy()).alias("_all"),
     )
-    inside = Window.partitionBy("_b").orderBy(*order, *[c for c in df.columns if c not in order])
+    inside = Window.partitionBy("_b").orderBy(*ranked)
     placed = keyed.withColumn("_i", F.row_number().over(inside)).join(offsets, "_b")
     step = F.ceil(F.col("_all") / about)
     return placed.where((F.col("_off") + F.col("_i") - 1) % step == 0).select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dims import ANOMALY_BANDS, PRICE_LEVEL_ORDER
 from ..functions.numeric import half_even
+from ..session import materialize
 from .distribution import attach, average_ranks, quantiles
 
 MOMENTS = {
@@ -182,7 +183,11 @@ def rank_sums(df: DataFrame, value: str = "price", flag: str = "is_gaming") -> D
 
 
 def _exact_u_pvalue(n1: int, n2: int, u: float) -> float:
-    """Two-sided exact p-value without ties: number of arrangements per statistic value."""
+    """Two-sided exact p-value without ties: number of arrangements per statistic value.
+
+    The loop runs over the smaller group, of at most eight rows.
+    """
+    n1, n2 = sorted((n1, n2))
     ways = [1]
     for i in range(1, n1 + 1):
         # multiply the generating function by (1 - q^(n2+i)) / (1 - q^i)
@@ -235,22 +240,26 @@ CORRELATED = ["price", "log_price", "ram_gb", "storage_gb", "cpu_score", "price_
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation (a, b, rho, n) of every column pair over the rows that have both.
 
-    Each pair is collapsed to distinct value pairs before ranking. The number
-    of pairs is fixed by the column list, not by the data.
+    Rows collapse to distinct tuples of all columns first, then each pair to
+    distinct value pairs, written once. Both sides of all pairs are ranked in
+    one pass. The number of pairs is fixed by the column list, not by the data.
     """
     names = list(combinations(columns, 2))
+    tuples = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
     pairs = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(names)
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(names)
     ]
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(
+    long = tuples.select("c", F.explode(F.array(*pairs)).alias("p")).select("c", "p.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
     )
-    counts = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(long.groupBy("pair", "x", "y").agg(F.sum("c").alias("c")))
+
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("x", "y")])
+    values = counts.select("pair", "c", F.explode(sides).alias("s")).groupBy("pair", "s.side", "s.v").agg(F.sum("c").alias("c"))
+    ranked = materialize(average_ranks(values, ["pair", "side"]).select("pair", "side", "v", "rank", "n"))
 
     def ranks(side: str) -> DataFrame:
-        one = counts.groupBy("pair", F.col(side).alias("v")).agg(F.sum("c").alias("c"))
-        return average_ranks(one, ["pair"]).select(
+        return ranked.where(F.col("side") == side).select(
             "pair", F.col("v").alias(side), F.col("rank").alias(f"r{side}"), *(["n"] if side == "x" else [])
         )
 

@@ -157,8 +157,14 @@ register("dedup_without_link", lambda s, d: dedup.dedup_links(
 register("dedup_listing", lambda s, d: dedup.dedup_listing(
     clean.convert_prices(market.market_offers(s, d)).select("id", "title", "price", "source", "link"), ["id"]))
 register("dedup_display", lambda s, d: dedup.dedup_display(laptops(s, d).select("id", "title", "price", "link"), ["id"]))
+CRAWL_ORDER = ["id", "link", "title", "source", "price"]
 register("crawl_dedup", lambda s, d: dedup.crawl_dedup(
-    market.market_offers(s, d).select("id", "title", "link", "source", "price"), ["id", "link", "title", "source", "price"]))
+    market.market_offers(s, d).select("id", "title", "link", "source", "price"), CRAWL_ORDER))
+register("crawl_dedup_check", lambda s, d: dedup.crawl_dedup_check(
+    market.market_offers(s, d).select("id", "title", "link", "source", "price", "search_query"), CRAWL_ORDER))
+register("crawl_dedup_runs_check", lambda s, d: dedup.crawl_dedup_check(
+    market.market_offers(s, d).select("id", "title", "link", "source", "price", "search_query"), CRAWL_ORDER,
+    ("source", "search_query")))
 register("product_key", lambda s, d: dedup.product_key(market.market_products(s, d)).drop("product_key"))
 
 # --- upserts and history ---------------------------------------------------------
@@ -330,6 +336,11 @@ def listing_pages(spark: SparkSession, sf: str, shop: str, per_page: int = 20) -
 
 
 register("jumia_cards", lambda s, d: cards.jumia_offers(listing_pages(s, d, "Jumia")).drop("place", "url"))
+for _family in ["mouse", "stand", "usb", "cooling"]:
+    register(f"jumia_{_family}_listing", lambda s, d, family=_family: clean.relevant_listings(
+        cards.jumia_offers(listing_pages(s, d, "Jumia"), family), family).drop("place", "url"))
+register("jumia_crawl_check", lambda s, d: dedup.crawl_dedup_check(clean.relevant_listings(
+    cards.jumia_offers(listing_pages(s, d, "Jumia"), "mouse"), "mouse"), ["url", "place"]))
 register("amazon_cards", lambda s, d: cards.amazon_offers(listing_pages(s, d, "Amazon")).drop("place", "url"))
 register("amazon_accessory_cards", lambda s, d: cards.amazon_offers(listing_pages(s, d, "Amazon"), "bag").drop("place", "url"))
 register("aliexpress_cards", lambda s, d: cards.aliexpress_offers(listing_pages(s, d, "AliExpress")).drop("place", "url"))

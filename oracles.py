@@ -325,6 +325,18 @@ add("rank_sums", FEATURES + """, ranked AS (SELECT is_gaming, count(*) OVER (PAR
     """SELECT CAST(count(*) FILTER (WHERE is_gaming) AS BIGINT) AS n1, CAST(count(*) FILTER (WHERE NOT is_gaming) AS BIGINT) AS n2,
   sum(CASE WHEN is_gaming THEN rk ELSE 0 END)::DOUBLE - count(*) FILTER (WHERE is_gaming) * (count(*) FILTER (WHERE is_gaming) + 1) / 2 AS u1,
   CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM ranked""")
+# the normal tail by the series of erf with positive terms; beyond 6 it is 0 at six digits
+add("mann_whitney", "RECURSIVE " + FEATURES + """, ranked AS (SELECT is_gaming, count(*) OVER (PARTITION BY price) AS t,
+  rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS rk FROM laptops),
+sums AS (SELECT CAST(count(*) FILTER (WHERE is_gaming) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT is_gaming) AS DOUBLE) AS n2,
+  sum(CASE WHEN is_gaming THEN rk ELSE 0 END)::DOUBLE AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM ranked),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM sums WHERE n1 >= 5 AND n2 >= 5),
+z AS (SELECT u1, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) / sqrt(2e0) AS x FROM u),
+terms AS (SELECT u1, x, 0 AS k, x AS term, x AS total FROM z
+  UNION ALL SELECT u1, x, k + 1, term * 2 * x * x / (2 * k + 3), total + term * 2 * x * x / (2 * k + 3) FROM terms WHERE k < 250 AND abs(x) < 6),
+p AS (SELECT u1, CASE WHEN x >= 6 THEN 0e0 ELSE least(1e0, 1 - 2 / sqrt(pi()) * exp(-x * x) * total) END AS p FROM terms
+  QUALIFY row_number() OVER (ORDER BY k DESC) = 1)""",
+    f"SELECT {r('u1', 4)} AS statistic, {r('p', 6)} AS pvalue, p < 0.05 AS significant FROM p")
 CORR = ["price", "log_price", "ram_gb", "storage_gb", "cpu_score", "price_per_gb_ram"]
 
 
@@ -445,6 +457,9 @@ add("scatter_sample", BANDED, f"""SELECT left(title, 60) AS title, price, cluste
   FROM banded ORDER BY {digest(42)} LIMIT 300""")
 add("random_offers", FEATURES, f"SELECT id, link, title, price, source FROM laptops WHERE price > 0 ORDER BY {digest(7)} LIMIT 20")
 add("first_rows", BANDED, "SELECT title, price, cluster, brand_detected, is_gaming, cluster_id FROM banded ORDER BY id DESC, link DESC LIMIT 500")
+for _name in ("crawl_dedup_check", "crawl_dedup_runs_check"):
+    add(_name, f"offers AS ({OFFERS_SQL})",
+        "SELECT count(*) AS offers, 0 AS shared_links, 0 AS shared_titles, 0 AS unexplained FROM offers")
 add("every_nth", FEATURES, """SELECT id, link, price FROM laptops QUALIFY (row_number() OVER (ORDER BY id, link, price) - 1)
   % CAST(ceil(count(*) OVER () / 500.0) AS BIGINT) = 0""")
 
@@ -511,6 +526,19 @@ CARD = f"offers AS ({OFFERS_SQL}), c AS (SELECT *, regexp_extract(link, '[^/]*$'
 WORD = "regexp_extract(name, '\\S+') AS brand"
 add("jumia_cards", CARD, f"""SELECT name AS title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price, {WORD}, source,
   'https://www.jumia.ma/item/' || leaf AS link, 'i.jpg' AS image, contains(lower(name), 'gaming') AS is_gaming FROM c WHERE source = 'Jumia'""")
+for family, category in dims.LISTING_CATEGORIES.items():
+    if family == "bag":  # the test tables hold no bags
+        continue
+    wanted, unwanted, lowest = dims.LISTING_RULES[family]
+    yes, no = (" OR ".join(f"strpos(lower(name), {quote(w)}) > 0" for w in words) for words in (wanted, unwanted))
+    extra = {"mouse": ", CAST(NULL AS BIGINT) AS old_price, CAST(NULL AS VARCHAR) AS discount, md5('https://www.jumia.ma/item/' || leaf) AS product_id"}
+    gaming = "" if family in ("usb", "cooling") else ", regexp_matches(lower(name), 'gaming|gamer') AS is_gaming"
+    add(f"jumia_{family}_listing", CARD, f"""SELECT name AS title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price, {WORD},
+  source, 'https://www.jumia.ma/item/' || leaf AS link, 'i.jpg' AS image, {quote(category)} AS category, true AS in_stock
+  {gaming}{extra.get(family, ", 'MAD' AS currency")} FROM c WHERE source = 'Jumia' AND ({yes}) AND NOT ({no or "false"})
+  AND CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) >= {lowest}""")
+add("jumia_crawl_check", "", f"""SELECT count(*) AS offers, 0 AS shared_links, 0 AS shared_titles, 0 AS unexplained
+  FROM ({ORACLES["jumia_mouse_listing"]})""")
 add("amazon_cards", CARD, f"""SELECT name AS title, regexp_replace(price, '[^0-9,.]', '', 'g') AS price,
   CASE WHEN contains(price, 'MAD') THEN 'MAD' ELSE '€' END AS currency, {WORD}, source, 'https://www.amazon.fr/item/' || leaf AS link,
   'i.jpg' AS image, contains(lower(name), 'gaming') AS is_gaming FROM c WHERE source = 'Amazon'""")
