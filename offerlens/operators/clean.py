@@ -32,11 +32,16 @@ def within_bounds(df: DataFrame, product_type: str = "laptop") -> DataFrame:
     return df.where(F.col("price").between(*PRODUCT_BOUNDS.get(product_type, OTHER_PRODUCT_BOUNDS)))
 
 
-def convert_prices(df: DataFrame) -> DataFrame:
-    """Replace ``price`` by its MAD value."""
+def convert_prices(df: DataFrame, once: bool = False) -> DataFrame:
+    """Replace ``price`` by its MAD value.
+
+    With ``once`` the value passes through a generator of one row, so that a
+    later filter reads it instead of computing it again per comparison.
+    """
     numeric = isinstance(df.schema["price"].dataType, NumericType)
     currency = F.col("currency") if "currency" in df.columns else None
-    return df.withColumn("price", price_in_mad(F.col("price"), currency, numeric))
+    price = price_in_mad(F.col("price"), currency, numeric)
+    return df.withColumn("price", F.explode(F.array(price)) if once else price)
 
 
 def tidy_columns(df: DataFrame) -> DataFrame:
@@ -62,9 +67,8 @@ def clean_offers(
     """
     if counters:
         df = df.observe(counters[0], F.count(F.lit(1)).alias("rows"))
-    # the bounds are positive, so they also drop missing and zero prices
-    kept = F.col("price").between(*PRODUCT_BOUNDS.get(product_type, OTHER_PRODUCT_BOUNDS))
-    out = tidy_columns(dedup_links(convert_prices(df), among=kept))
+    # the bounds are positive, so they also drop missing and zero prices, before any row is sorted or shuffled
+    out = tidy_columns(dedup_links(within_bounds(convert_prices(df, once=True), product_type)))
     if counters:
         out = out.observe(counters[1], F.count(F.lit(1)).alias("rows"))
     return out

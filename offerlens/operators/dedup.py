@@ -16,31 +16,24 @@ from ..functions.titles import normalized_title
 from ..session import materialize
 
 
-def keep_first(
-    df: DataFrame, keys: dict[str, Column], order: list[str], newest: bool = True, among: Column | None = None
-) -> DataFrame:
+def keep_first(df: DataFrame, keys: dict[str, Column], order: list[str], newest: bool = True) -> DataFrame:
     """One row per key: the first by ``order`` descending (or ascending).
 
     All other columns break ties in the same direction, so the survivor does
-    not depend on how the data is split. Missing keys count as equal. Only rows
-    that fulfil ``among`` take part; as a condition of the aggregate it reads
-    computed columns instead of computing them once more in a filter.
+    not depend on how the data is split. Missing keys count as equal.
     """
     ranked = [*order, *[c for c in df.columns if c not in order]]
-    row = F.struct(*ranked) if among is None else F.when(among, F.struct(*ranked))
-    best = (F.max if newest else F.min)(row).alias("_row")
+    best = (F.max if newest else F.min)(F.struct(*ranked)).alias("_row")
     named = [column.alias(f"_key_{name}") for name, column in keys.items()]
     picked = df.groupBy(*named).agg(best)
-    if among is not None:
-        picked = picked.where(F.col("_row").isNotNull())
     return picked.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def dedup_links(df: DataFrame, order: str = "id", among: Column | None = None) -> DataFrame:
+def dedup_links(df: DataFrame, order: str = "id") -> DataFrame:
     """One offer per link, newest first; without links by title, price and source."""
     names = ["link"] if "link" in df.columns else ["title", "price", "source"]
     keys = {name: F.col(name) for name in names}
-    return keep_first(df, keys, [order] if order in df.columns else names, among=among)
+    return keep_first(df, keys, [order] if order in df.columns else names)
 
 
 def dedup_listing(df: DataFrame, order: list[str]) -> DataFrame:
