@@ -26,6 +26,21 @@ def test_crawl_dedup_equals_scan(spark):
     assert sorted(r["id"] for r in dedup.crawl_dedup(df, ["id"]).collect()) == kept
 
 
+def test_crawl_dedup_runs_and_its_check(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), rng.choice([None, *map(str, range(9))]), f"T {rng.randint(0, 9)}") for i in range(80)]
+    links, names, kept = set(), set(), []
+    for i, shop, link, title in rows:
+        if (shop, link) not in links and (shop, title) not in names:
+            links.add((shop, link))
+            names.add((shop, title))
+            kept.append(i)
+    df = spark.createDataFrame(rows, "id int, shop string, link string, title string")
+    got = dedup.crawl_dedup(df, ["id"], ("shop",))
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == kept
+    assert tuple(dedup.crawl_dedup_check(df, ["id"], ("shop",)).first()) == (80, 0, 0, 0)
+
+
 def test_keep_first_with_missing_and_hot_links(spark):
     rows = [(i, None if i % 3 == 0 else ("N/A" if i % 3 == 1 else f"l{i}"), float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, link string, price double")
@@ -190,5 +205,7 @@ def test_iqr_missing_price_and_lists(spark):
 def test_every_nth_and_sample(spark):
     df = spark.range(2500).select("id", F.col("id").cast("string").alias("link"))
     assert [r["id"] for r in sampling.every_nth(df, 500, ["id"]).orderBy("id").limit(3).collect()] == [0, 5, 10]
+    texts = df.select(F.format_string("%05d", "id").alias("key"))
+    assert [r["key"] for r in sampling.every_nth(texts, 500, ["key"]).orderBy("key").limit(3).collect()] == ["00000", "00005", "00010"]
     one = [r["id"] for r in sampling.hash_sample(df, 50, ["id"]).collect()]
     assert one == [r["id"] for r in sampling.hash_sample(df.repartition(7), 50, ["id"]).collect()] and len(set(one)) == 50
