@@ -11,7 +11,7 @@ import pytest
 from offerlens.llm.components import components
 from offerlens.llm.exact_dedup import Directory, exact_dedup
 from offerlens.llm.jaccard import choose_bands, jaccard_join
-from offerlens.llm.passage_dedup import compact_windows, passage_dedup
+from offerlens.llm.passage_dedup import compact_windows, passage_dedup, verified
 from offerlens.llm.suffix_dedup import suffix_dedup
 from offerlens.llm.suffixes import deep_shallow_sort
 
@@ -180,6 +180,34 @@ def test_passages_are_found_and_are_what_they_say(spark):
     assert passage_dedup(frame(spark, [(None, None), (1, ""), (2, "a b c")])).collect() == []
 
 
+def test_verification_finds_every_edit_that_the_threshold_allows():
+    r = np.random.default_rng(4)
+    text = lambda k: r.integers(0, 10**9, k).tolist()
+    hashed = lambda t: np.array([hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)])
+
+    def sure(own, other):
+        found = verified(own, other, 46, 0.8)
+        for a, z, b, y, similarity in found:
+            x, w = set(own[a:z].tolist()), set(other[b:y].tolist())
+            assert z - a >= 46 and y - b >= 46 and similarity == len(x & w) / len(x | w) >= 0.8
+        return bool(found)
+
+    for size in range(50, 81):
+        for at in range(size):
+            p = text(size)
+            for q in (p[:at] + text(1) + p[at + 1 :], p[:at] + text(1) + p[at:], p[:at] + p[at + 1 :]):
+                x, w = set(hashed(p).tolist()), set(hashed(q).tolist())
+                if len(q) >= 50 and len(x & w) / len(x | w) >= 0.8:
+                    assert sure(hashed(text(20) + p + text(25)), hashed(text(30) + q + text(20))), (size, at)
+    # passages that stand together in one text and apart in the other
+    one, two = text(60), text(70)
+    assert len(verified(hashed(one + two), hashed(one + text(300) + two), 46, 0.8)) == 2
+    assert not sure(hashed(text(300)), hashed(text(300)))
+    # 15 of 20 grams match, so no run is similar enough
+    p = text(4000)
+    assert not sure(hashed(p), hashed([-i if i % 20 == 0 else w for i, w in enumerate(p)]))
+
+
 @pytest.mark.parametrize("key_bits", [2, 64])
 def test_exact_dedup_equals_plain_version(spark, key_bits):
     rows = corpus(7) + [(500, "twice"), (500, "twice"), (None, "twice"), (None, "alone")]
