@@ -3,8 +3,8 @@
 Training counts every character n-gram (inside words, with a mark at both ends) of all labelled rows: tasks count the
 distinct words of their rows, then those words' n-grams, and Spark sums them. Continuation counts, discounts and
 back-off weights are aggregates over the table of distinct n-grams. The model keeps, for each order, sorted hashes of
-n-grams and of contexts with a value per language. A hash has ``hash_bits`` bits, so a model has at most
-2 * order * 2 ** hash_bits rows of 4 * languages + 4 bytes, whatever the corpus; that is what is broadcast.
+n-grams and of contexts with a value per language. Hashes have 64 bits, so that no n-grams share one: a model has a row of
+4 * languages + 8 bytes for each distinct n-gram and context and grows with them; that is what is broadcast.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected when that lies above what the
 language's own training texts show, by more than ``slack`` nats and ``z`` deviations for its length: texts that mix two
@@ -37,7 +37,6 @@ ALPHABET = 1024  # characters that share the mass of unseen ones
 class Model:
     languages: list[str]
     order: int
-    hash_bits: int
     grams: list[tuple[np.ndarray, np.ndarray]]  # per order: sorted hashes, discounted probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]]  # per order: sorted hashes, back-off weights
     entropy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # mean and deviation per language
@@ -72,12 +71,12 @@ def char_grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np
     return table, owner[keep], place
 
 
-def slot(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Hash of n-grams given as one row per character, newest first."""
+def slot(codes: np.ndarray) -> np.ndarray:
+    """64-bit hash of n-grams given as one row per character, newest first."""
     h = np.full(codes.shape[1], U(len(codes) * 0x9E3779B97F4A7C15 % 2**64), dtype=U)
     for k, row in enumerate(codes):
         h += row * STEP[k]
-    return (mix(h) >> U(64 - bits)).astype(np.uint32)
+    return mix(h)
 
 
 def _count(order: int, most_words: int = 300_000):
@@ -115,10 +114,10 @@ def _count(order: int, most_words: int = 300_000):
     return count
 
 
-def _slots(order: int, bits: int):
+def _slots():
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype=np.int64)
+            out = np.zeros(batch.num_rows, dtype=U)
             grams = batch["gram"].to_pylist()
             for n in set(map(len, grams)):
                 at = [i for i, g in enumerate(grams) if len(g) == n]
@@ -126,8 +125,8 @@ def _slots(order: int, bits: int):
                     codes = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n).T[::-1].astype(U)
                 else:
                     codes = np.zeros((0, len(at)), dtype=U)
-                out[at] = slot(codes, bits)
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["n"], batch["lang"], pa.array(out), batch["value"]], names=["kind", "n", "lang", "slot", "value"])
+                out[at] = slot(codes)
+            yield pa.RecordBatch.from_arrays([batch["kind"], batch["n"], batch["lang"], pa.array(out.view(np.int64)), batch["value"]], names=["kind", "n", "lang", "slot", "value"])
 
     return slots
 
@@ -158,17 +157,17 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return both
 
 
-def train_models(rows: DataFrame, *, order: int = 4, hash_bits: int = 20, calibration_rows: int = 4000) -> Model:
+def train_models(rows: DataFrame, *, order: int = 4, calibration_rows: int = 4000) -> Model:
     """Model from ``rows`` (text, lang), all of them; null texts and null languages teach nothing.
 
     Deviations of the cross-entropy, for rejection, are fitted on a seeded sample of about ``calibration_rows`` rows.
     """
     rows = rows.where("lang is not null").select("text", "lang")
     counts = rows.mapInArrow(_count(order), "lang string, gram string, n long")
-    values = kneser_ney(counts, order).mapInArrow(_slots(order, hash_bits), "kind int, n int, lang string, slot long, value double")
-    found = values.groupBy("kind", "n", "lang", "slot").agg(F.max("value").alias("value")).toArrow()
+    values = kneser_ney(counts, order).mapInArrow(_slots(), "kind int, n int, lang string, slot long, value double")
+    found = values.toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
-    kind, n, at = found["kind"].to_numpy(), found["n"].to_numpy(), found["slot"].to_numpy().astype(np.uint32)
+    kind, n, at = found["kind"].to_numpy(), found["n"].to_numpy(), found["slot"].to_numpy().view(U)
     lang = np.searchsorted(languages, found["lang"].to_numpy(zero_copy_only=False).astype(str)) if languages else np.zeros(0, dtype=int)
     value = found["value"].to_numpy()
 
@@ -179,7 +178,7 @@ def train_models(rows: DataFrame, *, order: int = 4, hash_bits: int = 20, calibr
         out[inverse, lang[own]] = value[own]
         return keys, out
 
-    model = Model(languages, order, hash_bits, [array_of(0, o) for o in range(1, order + 1)], [array_of(1, o) for o in range(1, order + 1)])
+    model = Model(languages, order, [array_of(0, o) for o in range(1, order + 1)], [array_of(1, o) for o in range(1, order + 1)])
     model.entropy = np.tile([np.inf, 0.0], (len(languages), 1))
     if languages and (total := rows.where("text is not null").count()):
         part = min(1.0, calibration_rows / total)
@@ -213,7 +212,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     for n in range(1, model.order + 1):
         inside = place >= n - 1
         codes = table[:n, inside]
-        p[inside] = _value(model.grams[n - 1], slot(codes, model.hash_bits), 0.0) + _value(model.contexts[n - 1], slot(codes[1:], model.hash_bits), 1.0) * p[inside]
+        p[inside] = _value(model.grams[n - 1], slot(codes), 0.0) + _value(model.contexts[n - 1], slot(codes[1:]), 1.0) * p[inside]
     logs = np.log(p)[inverse]
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     return np.add.reduceat(logs, starts, axis=0)

@@ -255,6 +255,15 @@ def test_scores_equal_the_definition(spark):
         assert word_scores(model, [w])[0, 0] == pytest.approx(plain(w), rel=1e-4)
 
 
+def test_no_ngrams_share_a_hash(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0x4E00, 0x4E00 + 2000))
+    train = ["".join(r.choice(letters) for _ in range(8)) for _ in range(40_000)]
+    model = train_models(spark.createDataFrame([(" ".join(train[i::20]), "x") for i in range(20)], "text string, lang string"))
+    distinct = {f" {w} "[i : i + 4] for w in train for i in range(len(w) - 1)}
+    assert len(model.grams[3][0]) == len(distinct)
+
+
 # quality
 
 
