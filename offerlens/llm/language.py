@@ -157,10 +157,12 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return both
 
 
-def train_models(rows: DataFrame, *, order: int = 4, calibration_rows: int = 4000) -> Model:
+def train_models(rows: DataFrame, *, order: int = 4) -> Model:
     """Model from ``rows`` (text, lang), all of them; null texts and null languages teach nothing.
 
-    Deviations of the cross-entropy, for rejection, are fitted on a seeded sample of about ``calibration_rows`` rows.
+    Mean and deviation of the cross-entropy, for rejection, are those of all of a language's distinct texts of 100 letters or
+    more. Without such texts they are taken over its shorter ones by letters, and without any that get the language, the
+    largest of the other languages.
     """
     rows = rows.where("lang is not null").select("text", "lang")
     counts = rows.mapInArrow(_count(order), "lang string, gram string, n long")
@@ -179,12 +181,15 @@ def train_models(rows: DataFrame, *, order: int = 4, calibration_rows: int = 400
         return keys, out
 
     model = Model(languages, order, [array_of(0, o) for o in range(1, order + 1)], [array_of(1, o) for o in range(1, order + 1)])
-    model.entropy = np.tile([np.inf, 0.0], (len(languages), 1))
-    if languages and (total := rows.where("text is not null").count()):
-        part = min(1.0, calibration_rows / total)
-        sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000) < part)
-        seen = sample.mapInArrow(_identify(model, ["lang"]), "lang string, _lang string, _score double, _entropy double, _letters long, _accepted boolean")
-        stats = seen.where("lang = _lang and _letters >= 100").groupBy("lang").agg(F.avg("_entropy"), F.stddev_pop("_entropy")).collect()
+    model.entropy = np.tile([np.log(ALPHABET), 0.0], (len(languages), 1))
+    if languages:
+        texts = rows.where("text is not null").withColumn("_text", F.xxhash64("text"))
+        seen = identify(texts, model).where("lang = _lang").dropDuplicates(["lang", "_text"])
+        by_letters = F.sum(F.col("_entropy") * F.col("_letters")) / F.sum("_letters")
+        long = F.when(F.col("_letters") >= 100, F.col("_entropy"))
+        stats = seen.groupBy("lang").agg(F.coalesce(F.avg(long), by_letters), F.coalesce(F.stddev_pop(long), F.lit(0.0))).collect()
+        if stats:
+            model.entropy[:] = max(m for _, m, _ in stats), max(d for _, _, d in stats)
         for name, mean, deviation in stats:
             model.entropy[languages.index(name)] = (mean, deviation)
     return model

@@ -255,6 +255,23 @@ def test_scores_equal_the_definition(spark):
         assert word_scores(model, [w])[0, 0] == pytest.approx(plain(w), rel=1e-4)
 
 
+def test_rejection_of_a_rare_language_and_of_one_not_learned(spark):
+    d = table(spark, SF, "documents").select("text", "lang")
+    r = random.Random(8)
+    rare = " ".join("".join(r.choice("αβγδεζη") for _ in range(r.randint(2, 7))) for _ in range(60))
+    many = spark.range(20_000).selectExpr("concat('one two three four ', id) AS text", "'en' AS lang")
+    more = spark.createDataFrame([(rare, "el"), ("hei på deg", "no")], "text string, lang string")
+    model = train_models(d.unionByName(many).unionByName(more))
+    assert np.isfinite(model.entropy).all() and set(model.languages) >= {"el", "no"}
+    # texts of one language weigh alike however often they are copied
+    again = train_models(d.unionByName(many).unionByName(more).unionByName(d.limit(1).crossJoin(spark.range(50)).drop("id")))
+    assert np.allclose(model.entropy, again.entropy, atol=0.2)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    junk = "".join(r.choice("βδζ") * 9 + "ψωφ " for _ in range(40))
+    got = {x.doc_id: x for x in identify(docs(spark, [(1, rare, "el", "a"), (2, polish * 3, "pl", "a"), (3, junk, "el", "a")]), model).collect()}
+    assert got[1]._accepted and not got[2]._accepted and not got[3]._accepted
+
+
 def test_no_ngrams_share_a_hash(spark):
     r = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0x4E00, 0x4E00 + 2000))
