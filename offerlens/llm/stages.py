@@ -9,10 +9,10 @@ from . import catalog
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; those that the operator rejects go. Models are trained on ``docs``."""
+    """Documents whose language is accepted; those that the operator rejects go. Models are trained on all of ``docs``."""
     from .language import identify, train_models
 
-    named = identify(docs, train_models(catalog.training_rows(docs)))
+    named = identify(docs, train_models(docs.select("text", "lang")))
     return named.where("_accepted").select(*docs.columns)
 
 

@@ -1,17 +1,29 @@
 """The pipeline's stages, each against a plain version of its decisions."""
 
 import collections
+import random
 import re
+import zlib
 
 import corpus_pipeline
 from offerlens.llm.common import table
 from offerlens.llm.mixing import mix_sources
 from offerlens.llm.packing import pack_documents
-from offerlens.llm import catalog
+from offerlens.llm import catalog, stages
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_language_stage_learns_from_every_row(spark):
+    docs = table(spark, SF, "documents")
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("αβγδεζη") for _ in range(5)) for _ in range(60)) for _ in range(3)]
+    ids = [i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    more = spark.createDataFrame([(i, t, "el", "src1", 1) for i, t in zip(ids, texts, strict=True)], docs.schema)
+    kept = stages.language_id(spark, docs.unionByName(more), SF)
+    assert kept.where("lang = 'el'").count() == 3
+
+
 def test_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
