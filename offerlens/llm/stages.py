@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
+from .common import WORD
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,19 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that with the smallest doc_id; documents without words all stay."""
+    """One row of each class of near duplicates: that with the smallest doc_id (null is the smallest, equal ones by a hash of
+    the text); rows without words all stay. Rows are told apart by doc_id and text, so shared and null ids do no harm."""
     from .jaccard import jaccard_join
 
-    gone = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"))
-    return rows.join(gone, "_id", "left_anti").select("row.*")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    keyed = docs.select(F.col("doc_id").alias("_id"), key.alias("doc_id"), "text")
+    named = jaccard_join(keyed.select("doc_id", "text")).where("n_grams > 0").select("doc_id", "class_id").distinct()
+    ids = keyed.select("_id", "doc_id").distinct().join(named, "doc_id").select("class_id", F.struct("_id", F.col("doc_id").alias("_key")).alias("_row"))
+    first = ids.groupBy("class_id").agg(F.min("_row").alias("_first"))
+    gone = ids.join(first, "class_id").where("_row._key <> _first._key").select(F.col("_row._key").alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_key"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
+    rows = rows.join(gone, "_key", "left_anti").withColumn("_own", F.when(F.col("_words"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_key", "_own"]).select("row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

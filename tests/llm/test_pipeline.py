@@ -24,6 +24,22 @@ def test_language_stage_learns_from_every_row(spark):
     assert kept.where("lang = 'el'").count() == 3
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    docs = table(spark, SF, "documents")
+    word = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [
+        (None, word("a")), (None, word("a") + " x"), (1, word("a") + " y"),  # null ids
+        (5, word("b")), (6, word("b") + " x"), (6, word("c")),  # the clean text shares the id of a near copy
+        (7, word("d")), (7, word("d") + " x"),  # both share one id
+        (8, word("e")), (8, word("e")), (9, ""), (9, ""), (None, None), (None, None),
+    ]
+    given = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    got = [(r.doc_id, r.text) for r in stages.near_dedup_stage(spark, given, SF).collect()]
+    assert sum(t in (word("d"), word("d") + " x") for _, t in got) == 1 and len(got) == 9
+    assert {t[:2] for _, t in got if t} == {"a0", "b0", "c0", "d0", "e0"} and (5, word("b")) in got and (6, word("c")) in got
+    assert got.count((9, "")) == got.count((None, None)) == 2 and [i for i, t in got if t and t[:2] == "a0"] == [None]
+
+
 def test_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
