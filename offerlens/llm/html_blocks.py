@@ -19,7 +19,7 @@ SCOPE = frozenset("ul ol dl table select div section article aside nav header fo
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
-PATH = 24  # innermost elements whose tokens a block keeps
+PATH = 24  # innermost elements whose tokens a block keeps one by one; of those around them it keeps the distinct tokens
 
 
 @dataclass
@@ -35,7 +35,7 @@ def blocks_of(page: str) -> list[Block]:
     Tags without an end or a start are accepted; nesting of any depth costs no recursion.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], dict[str, None]]] = []  # tag, tokens, distinct tokens from the outermost on
     text: list[str] = []
     links = in_link = at = 0
     n = len(page)
@@ -45,7 +45,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                path = tuple(t for _, tokens in stack[-PATH:] for t in tokens)
+                around = stack[-PATH - 1][2] if len(stack) > PATH else {}
+                path = (*around, *(t for _, tokens, _ in stack[-PATH:] for t in tokens))
                 out.append(Block(joined, path, links))
             text.clear()
         links = 0
@@ -126,6 +127,9 @@ def blocks_of(page: str) -> list[Block]:
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 tokens += [f".{x}" for x in dict.fromkeys(_NAME.findall("".join(values).lower()))]
-        stack.append((tag, tuple(tokens)))
+        known = stack[-1][2] if stack else {}
+        if any(t not in known for t in tokens):
+            known = known | dict.fromkeys(tokens)
+        stack.append((tag, tuple(tokens), known))
     flush()
     return out

@@ -330,6 +330,12 @@ def test_blocks():
     assert blocks_of("") == [] and [b.text for b in blocks_of("<p>" * 20_000 + "deep")] == ["deep"] and [b.text for b in blocks_of("<div>" * 20_000 + "deep")] == ["deep"]
 
 
+def test_deep_blocks_keep_the_names_around_them():
+    deep = blocks_of('<section class="comments"><nav>' + "<div>" * 40 + "<p>reply")[0].path
+    assert deep[:4] == ("section", ".comments", "nav", "div") and deep[4:] == ("div",) * 23 + ("p",)
+    assert blocks_of("<nav><p>x")[0].path == ("nav", "p")
+
+
 def test_gradients_equal_differences():
     make = page_maker(["aa", "bb", "cc"], 1)
     pages = [blocks_of(make()[0]) for _ in range(3)]
