@@ -1,170 +1,40 @@
-"""Local outlier factor with exact nearest neighbours.
-
-Works on distinct vectors with row counts. The first feature is the axis, the
-others form the profile of a vector. Inside a profile the neighbours are next
-to each other on the axis, so a join on places finds them; other profiles are
-probed only when they are nearer than the k-th neighbour found so far, and
-then only the k places on either side of the probe. No step pairs all members
-of a group.
-"""
+"""Local outlier factor with exact nearest neighbours of distinct vectors, by cells of a k-d tree."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
-from .distribution import running_counts
+from ..session import stored
+from .neighbours import nearest_rows, placed_vectors
 from .vectors import distinct_vectors, feature_names, flag_scores, with_vectors
 
-PAIRS = "p array<double>, x double, c bigint, q array<double>, d double"
-
-
-def placed_vectors(vectors: DataFrame, names: list[str]) -> DataFrame:
-    """(p, x, c, i): profile, axis value, rows and 0-based place on the axis within the profile."""
-    profile = F.array(*names[1:]) if len(names) > 1 else F.array(F.lit(0.0))
-    base = vectors.select(profile.alias("p"), F.col(names[0]).alias("v"), F.col("c").alias("rows"))
-    ranked = running_counts(base.withColumn("c", F.lit(1)), ["p"])
-    return ranked.select("p", F.col("v").alias("x"), F.col("rows").alias("c"), F.col("before").cast("bigint").alias("i"))
-
-
-def probe_places(probes: DataFrame, placed: DataFrame) -> DataFrame:
-    """Add ``i``: the number of vectors of profile q below x."""
-    data = placed.select(F.col("p").alias("q"), F.col("x").alias("v"), F.lit(1).alias("c"))
-    asked = probes.select("q", F.col("x").alias("v"), F.lit(0).alias("c"))
-    marks = data.unionByName(asked).groupBy("q", "v").agg(F.max("c").alias("c"))
-    below = running_counts(marks, ["q"]).select("q", F.col("v").alias("x"), F.col("before").cast("bigint").alias("i"))
-    return probes.join(below, ["q", "x"])
-
-
-def candidates(probes: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """Vectors of profile q within k places of the probe, with their distance."""
-    target = placed.select(
-        F.col("p").alias("q"), F.col("x").alias("y"), F.col("c").alias("m"), F.col("i").alias("j")
-    )
-    spots = probes.withColumn("j", F.explode(F.sequence(F.greatest(F.col("i") - k, F.lit(0)), F.col("i") + k)))
-    joined = spots.join(target, ["q", "j"])
-    itself = (F.col("p") == F.col("q")) & (F.col("x") == F.col("y"))
-    free = F.when(itself, F.col("m") - 1).otherwise(F.col("m"))
-    gap = F.col("x") - F.col("y")
-    distance = F.sqrt(F.col("d") * F.col("d") + gap * gap)
-    return joined.select("p", "x", "q", "y", free.alias("m"), distance.alias("dist")).where(F.col("m") > 0)
-
-
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows per vector: (p, x, q, y, copies, dist); a vector takes only the copies needed."""
-    order = Window.partitionBy("p", "x").orderBy("dist", "q", "y").rowsBetween(Window.unboundedPreceding, -1)
-    taken = found.withColumn("_t", F.coalesce(F.sum("m").over(order), F.lit(0))).where(F.col("_t") < k)
-    return taken.select("p", "x", "q", "y", F.least(F.col("m"), k - F.col("_t")).alias("copies"), "dist")
-
-
-def reach_of(near: DataFrame) -> DataFrame:
-    return near.groupBy("p", "x").agg(F.max("dist").alias("r"), F.sum("copies").alias("got"))
-
 
-def near_profiles(vectors: DataFrame, profiles: DataFrame, k: int, seeds: bool) -> DataFrame:
-    """Other profiles to probe per vector.
-
-    With ``seeds`` the nearest profiles that together hold more than k rows,
-    else all profiles not farther than the reach r. The profile table (one row
-    per combination of the low-cardinality features) goes to every task.
-    """
-    table = profiles.toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.array(table["p"].tolist(), dtype=float), table["rows"].to_numpy(dtype=np.int64))
-    )
-
-    def run(batches):
-        spots, rows = shared.value
-        for pdf in batches:
-            out_p, out_x, out_c, out_q, out_d = [], [], [], [], []
-            keys = [tuple(p) for p in pdf["p"]]
-            ranges: dict[tuple, tuple] = {}
-            for key in set(keys):
-                d = np.sqrt(((spots - np.array(key)) ** 2).sum(axis=1))
-                order = np.argsort(d, kind="stable")
-                ranges[key] = (order, d[order], np.cumsum(rows[order]))
-            radius = pdf["r"].to_numpy() if not seeds else None
-            for n, (key, x, c) in enumerate(zip(keys, pdf["x"], pdf["c"])):
-                order, d, total = ranges[key]
-                if seeds:
-                    stop = int(np.searchsorted(total, k + 1)) + 1
-                else:
-                    stop = int(np.searchsorted(d, radius[n], side="right"))
-                for at in range(min(stop, len(order))):
-                    if d[at] > 0:
-                        out_p.append(list(key))
-                        out_x.append(x)
-                        out_c.append(c)
-                        out_q.append(spots[order[at]].tolist())
-                        out_d.append(d[at])
-            yield pd.DataFrame({
-                "p": pd.Series(out_p, dtype=object), "x": pd.Series(out_x, dtype=float),
-                "c": pd.Series(out_c, dtype="int64"), "q": pd.Series(out_q, dtype=object),
-                "d": pd.Series(out_d, dtype=float),
-            })
-
-    return vectors.mapInPandas(run, PAIRS)
-
-
-def neighbours(placed: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest rows of every vector."""
-    profiles = placed.groupBy("p").agg(F.sum("c").alias("rows"))
-    # k more copies of the vector itself: all neighbours are at distance 0
-    settled = placed.where(F.col("c") > k).select(
-        "p", "x", F.col("p").alias("q"), F.col("x").alias("y"), F.lit(k).cast("bigint").alias("copies"),
-        F.lit(0.0).alias("dist"),
-    )
-    open_ = placed.where(F.col("c") <= k)
-    own = materialize(nearest(
-        candidates(open_.select("p", "x", F.col("p").alias("q"), F.lit(0.0).alias("d"), "i"), placed, k), k
-    ))
-    state = open_.select("p", "x", "c").join(reach_of(own), ["p", "x"], "left")
-    enough = state.where(F.col("got") >= k).select("p", "x", "c", "r")
-    short = state.where(F.coalesce("got", F.lit(0)) < k).select("p", "x", "c")
-    columns = ["p", "x", "q", "y", "copies", "dist"]
-
-    seeds = probe_places(near_profiles(short, profiles, k, seeds=True), placed)
-    own_m = own.withColumnRenamed("copies", "m")
-    tried = own_m.join(short.select("p", "x"), ["p", "x"], "left_semi").unionByName(candidates(seeds, placed, k))
-    first_reach = reach_of(nearest(tried, k)).select("p", "x", "r")
-    reaches = materialize(enough.unionByName(short.join(first_reach, ["p", "x"]).select("p", "x", "c", "r")))
-
-    wide = probe_places(near_profiles(reaches, profiles, k, seeds=False), placed)
-    final = nearest(own_m.unionByName(candidates(wide, placed, k)), k)
-    return settled.select(*columns).unionByName(final.select(*columns))
-
-
-def local_outlier_factors(placed: DataFrame, k: int) -> DataFrame:
-    """(p, x, c, lof) of every distinct vector."""
-    near = materialize(neighbours(placed, k))
-    reach = near.groupBy("p", "x").agg(F.max("dist").alias("kd"))
-    other = ["q", "y"]
-    with_reach = near.join(reach.select(F.col("p").alias("q"), F.col("x").alias("y"), "kd"), other)
+def local_outlier_factors(near: DataFrame) -> DataFrame:
+    """(id, lof) from (id, other, copies, dist) of the k nearest rows of every vector."""
+    reach = near.groupBy("id").agg(F.max("dist").alias("kd"))
     copies = F.sum("copies")
+    with_reach = near.join(reach.withColumnRenamed("id", "other"), "other")
     mean_reach = F.sum(F.col("copies") * F.greatest("kd", "dist")) / copies
-    density = with_reach.groupBy("p", "x").agg((1.0 / (mean_reach + 1e-10)).alias("lrd"))
-    with_density = near.join(density.select(F.col("p").alias("q"), F.col("x").alias("y"), "lrd"), other)
-    around = with_density.groupBy("p", "x").agg((F.sum(F.col("copies") * F.col("lrd")) / copies).alias("around"))
-    return (
-        around.join(density, ["p", "x"]).join(placed.select("p", "x", "c"), ["p", "x"])
-        .select("p", "x", "c", (F.col("around") / F.col("lrd")).alias("lof"))
-    )
+    density = stored(with_reach.groupBy("id").agg((1.0 / (mean_reach + 1e-10)).alias("lrd")), "lof-density")
+    with_density = near.join(density.select(F.col("id").alias("other"), "lrd"), "other")
+    around = with_density.groupBy("id").agg((F.sum(F.col("copies") * F.col("lrd")) / copies).alias("around"))
+    return around.join(density, "id").select("id", (F.col("around") / F.col("lrd")).alias("lof"))
 
 
 def detect_lof(
     df: DataFrame, features: list[str] | None = None, n_neighbors: int = 20, contamination: float = 0.05
 ) -> DataFrame:
-    """Flag rows in sparser surroundings than their neighbours; the score is higher for worse rows."""
+    """Flag rows in sparser surroundings than their neighbours; the score is higher for worse rows.
+
+    With fewer than two rows nothing is flagged and the score is 1.
+    """
     points, names = with_vectors(df, feature_names(df, features))
     vectors = distinct_vectors(points, names)
     rows = vectors.agg(F.sum("c")).first()[0] or 0
-    k = max(5, min(n_neighbors, rows // 10))
-    placed = materialize(placed_vectors(vectors, names))
-    factors = local_outlier_factors(placed, k)
-    profile = {name: F.get("p", F.lit(i)) for i, name in enumerate(names[1:])}
-    scores = materialize(factors.select(
-        F.col("x").alias(names[0]), *[v.alias(n) for n, v in profile.items()], "c", (-F.col("lof")).alias("s")
-    ))
+    if rows < 2:
+        return df.withColumn("anomaly_lof", F.lit(False)).withColumn("anomaly_lof_score", F.lit(1.0))
+    k = min(max(5, min(n_neighbors, rows // 10)), rows - 1)
+    placed = placed_vectors(vectors, names)
+    factors = local_outlier_factors(stored(nearest_rows(placed, names, k), "lof-near"))
+    scores = stored(placed.join(factors, "id").select(*names, "c", (-F.col("lof")).alias("s")), "lof-scores")
     return flag_scores(points, names, scores, "lof", contamination, -1.0)

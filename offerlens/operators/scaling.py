@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import half_even
+from ..session import stored
 from .distribution import attach, quantiles
 
 
@@ -79,18 +80,23 @@ def scaled(df: DataFrame, columns: list[str], method: str = "robust", digits: in
 def fixed_scaled(df: DataFrame, columns: dict[str, Column], names: list[str]) -> DataFrame:
     """Add imputed robust-scaled columns whose marks are known numbers.
 
-    One job reads the marks, one row per column; after it the new columns are
-    plain projections, so that passes of an iterative model do not compute
-    the marks again.
+    Two jobs over the stored value counts read the marks, one row per column; after them the new columns are
+    plain projections, so that passes of an iterative model do not compute the marks again.
     """
     ready = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
-    marks = ready.limit(1).select(imputed_marks(ready, list(columns)).alias("m")).first()
+    counts = stored(column_counts(ready, list(columns)), "value-counts")
+    fills = {r["name"]: r["fill"] for r in quantiles(counts, ["name"], "x", {"fill": 0.5}, weight="c").collect()}
+    chain = F
+    for n in columns:
+        chain = chain.when(F.col("name") == n, F.lit(fills.get(n) or 0.0))
+    filled = counts.select("name", F.coalesce("x", chain.otherwise(F.lit(0.0))).alias("x"), "c")
+    marks = {r["name"]: r for r in quantiles(filled, ["name"], "x", MARKS, weight="c").collect()}
     out = {}
     for name, (n, c) in zip(names, columns.items()):
-        m = marks["m"].get(n) if marks and marks["m"] else None
-        fill, center, width = (m["fill"], m["median"], (m["q3"] - m["q1"]) or 1.0) if m else (0.0, 0.0, 1.0)
+        m = marks.get(n)
+        center, width = (m["median"], (m["q3"] - m["q1"]) or 1.0) if m else (0.0, 1.0)
         # adding zero folds -0.0 into 0.0, so equal values have equal keys
-        out[name] = (F.coalesce(c.cast("double"), F.lit(fill)) - F.lit(center)) / F.lit(width) + 0.0
+        out[name] = (F.coalesce(c.cast("double"), F.lit(fills.get(n) or 0.0)) - F.lit(center)) / F.lit(width) + 0.0
     return df.withColumns(out)
 
 

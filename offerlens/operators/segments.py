@@ -13,6 +13,7 @@ from ..dims import BAND_EPS, BAND_MIN_SAMPLES, PRICE_BANDS, SEGMENT_NAMES
 from ..functions.features import shorten
 from ..functions.numeric import half_even
 from ..session import materialize
+from .cluster_quality import vector_quality
 from .distribution import quantiles, running_counts, value_counts
 from .scaling import fixed_scaled, usable_features
 from .stats import group_stats
@@ -169,29 +170,38 @@ def band_quality(df: DataFrame) -> DataFrame:
     )
 
 
-def score_k(df: DataFrame, ks: range = range(2, 8), restarts: int = 10, seed: int = 42) -> DataFrame:
-    """Per k: inertia, silhouette, Davies-Bouldin and smallest cluster, on log_price.
+def score_k(
+    df: DataFrame, ks: range = range(2, 8), restarts: int = 10, seed: int = 42, features: list[str] | None = None
+) -> DataFrame:
+    """Per k below the number of rows: inertia, silhouette, Davies-Bouldin and smallest cluster.
 
-    Fits run on distinct values with weights; all k are judged in one job.
+    ``features``: columns to cluster by, log_price by default. Fits run on distinct vectors with weights; all k are judged together, from sorted
+    values for one feature, else from exact distances of distinct vectors.
     """
-    points = collapsed(kmeans_points(df, ["log_price"]), 1)
-    distinct = points.count()
-    judged, costs = [], []
-    for k in [k for k in ks if k < distinct]:
-        model = best_kmeans(points, k, restarts, seed)
-        costs.append((k, float(model.summary.trainingCost)))
-        judged.append(model.transform(points).select(F.lit(k).alias("k"), "cluster_id", F.col("x0").alias("v"), "c"))
+    features = features or KMEANS_FEATURES
+    names = [f"x{i}" for i in range(len(features))]
+    points = collapsed(kmeans_points(df, features), len(features))
+    rows = points.agg(F.sum("c")).first()[0] or 0
+    models = {k: best_kmeans(points, k, restarts, seed) for k in ks if k < rows}
     spark = df.sparkSession
-    schema = "k int, inertia double, silhouette double, davies_bouldin double, rows bigint, smallest bigint"
-    if not judged:
-        return spark.createDataFrame([], schema)
-    counts = judged[0]
-    for more in judged[1:]:
-        counts = counts.union(more)
+    if not models:
+        return spark.createDataFrame([], "k int, inertia double, silhouette double, davies_bouldin double, rows bigint, smallest bigint")
+    costs = [(k, float(m.summary.trainingCost)) for k, m in models.items()]
+    inertia = spark.createDataFrame(costs, "k int, inertia double")
+    if len(features) > 1:
+        labels = {f"k{k}": nearest_center(m.clusterCenters(), names) for k, m in models.items()}
+        placed = points.select(*names, "c", *[label.alias(name) for name, label in labels.items()])
+        judged = vector_quality(placed, names, list(labels), weight="c")
+        judged = judged.withColumn("k", F.substring("labelling", 2, 9).cast("int")).drop("labelling", "clusters")
+        return inertia.join(judged, "k").select(
+            "k", half_even(F.col("inertia"), 2).alias("inertia"), "silhouette", "davies_bouldin", "rows", "smallest").orderBy("k")
+    counts = None
+    for k, model in models.items():
+        placed = points.select(F.lit(k).alias("k"), nearest_center(model.clusterCenters(), names).alias("cluster_id"), F.col("x0").alias("v"), "c")
+        counts = placed if counts is None else counts.union(placed)
     sizes = _cluster_moments(counts, ["k"]).groupBy("k").agg(
         F.sum("size").alias("rows"), F.min("size").alias("smallest")
     )
-    inertia = spark.createDataFrame(costs, "k int, inertia double")
     return (
         inertia.join(silhouettes(counts, ["k"]), "k").join(davies_bouldin(counts, ["k"]), "k").join(sizes, "k")
         .select("k", half_even(F.col("inertia"), 2).alias("inertia"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numeric import half_even
 from ..session import materialize
 from .distribution import attach, quantiles
 from .scaling import fixed_scaled
@@ -38,7 +39,7 @@ def flag_scores(
     cut = quantiles(scores, [], "s", {"cut": contamination}, weight="c")
     judged = attach(scores, cut).select(
         *names, (F.col("s") < F.col("_q.cut")).alias(f"anomaly_{method}"),
-        (F.rint(F.col("s") * sign * 10000.0) / 10000.0).alias(f"anomaly_{method}_score"),
+        half_even(F.col("s") * sign, 4).alias(f"anomaly_{method}_score"),
     )
     kept = [c for c in points.columns if c not in names]
     return points.join(judged, names).select(*kept, f"anomaly_{method}", f"anomaly_{method}_score")

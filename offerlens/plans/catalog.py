@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import features, numeric, prices, titles
+from ..functions import features, numeric, prices, sql, titles
 from ..operators import (
-    anomaly, clean, dedup, distribution, enrich, history, iforest, lof, projection, rules, sampling, scaling, search,
-    segments, stats,
+    anomaly, clean, cluster_quality, dedup, distribution, enrich, history, iforest, lof, projection, rules, sampling, scaling, search,
+    search_analysis, segments, stats,
 )
 from ..session import shared_folder
 from ..sources import cards, market, offers, snapshots, terms
@@ -120,6 +120,34 @@ def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def sql_title_features(spark: SparkSession, sf: str) -> DataFrame:
+    """``title_features`` as a SQL user writes it, with the registered functions."""
+    sql.register_functions(spark)
+    clean.clean_offers(market.market_offers(spark, sf)).createOrReplaceTempView("cleaned_offers")
+    return spark.sql("""
+        SELECT id, title, price, title_brand(title, brand) AS brand_detected, title_ram(title) AS ram_gb,
+          title_storage(title) AS storage_gb, title_storage_type(title) AS storage_type, title_cpu_score(title) AS cpu_score,
+          title_cpu_generation(title) AS cpu_generation, title_has_gpu(title) AS has_gpu,
+          title_is_tactile(title) AS is_tactile, title_is_refurbished(title) AS is_refurbished,
+          price_level(price) AS price_category, ram_level(title_ram(title)) AS ram_category,
+          is_gaming OR title_is_gaming(title) AS is_gaming
+        FROM cleaned_offers""")
+
+
+@query
+def sql_price_parsers(spark: SparkSession, sf: str) -> DataFrame:
+    """``price_parsers`` with the registered functions."""
+    sql.register_functions(spark)
+    market.market_offers(spark, sf).createOrReplaceTempView("raw_offers")
+    return spark.sql("""
+        SELECT id, price AS raw, price_free(price) AS free, price_offer_insert(price) AS insert_price,
+          price_accessory_insert(price) AS accessory_insert, price_refresh(price) AS refresh, price_digits(price) AS digits,
+          price_marketplace(price) AS marketplace, price_card_accessory(price) AS card, price_currency(price) AS currency,
+          currency_rate(currency) AS rate, accessory_currency_rate(currency) AS accessory_rate
+        FROM raw_offers""")
+
+
 # --- search and filters --------------------------------------------------------
 register("search_by_query", lambda s, d: search.search_by_query(laptops(s, d), "Laptop").select("id", "title", "price", "search_query"))
 register("search_offers", lambda s, d: search.search_offers(laptops(s, d), "gaming", search.PRODUCT_COLUMNS).select("id", "title", "price"))
@@ -241,6 +269,16 @@ register("accessory_stats", lambda s, d: stats.accessory_stats(accessories(s, d)
 register("search_stats", lambda s, d: stats.search_stats(market.market_prices(s, d)).withColumns(
     {c: numeric.half_even(F.col(c).cast("double"), 2) for c in
      ["min_price", "max_price", "mean_price", "median_price", "std_price", "q1", "q3"]}))
+def judged_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return search_analysis.judged_prices(market.market_prices(spark, sf))
+
+
+register("search_clusters", lambda s, d: search_analysis.search_clusters(judged_prices(s, d)))
+register("search_flagged", lambda s, d: search_analysis.search_flagged(
+    market.market_search_prices(s, d), judged_prices(s, d)).select("search_id", "product_id", "title", "platform", "price", "score"))
+register("search_reports", lambda s, d: search_analysis.search_reports(judged_prices(s, d)).select(
+    "search_id", "count", *[F.get("centers", F.lit(i)).alias(f"center_{i}") for i in range(3)],
+    F.array_join("cluster_names", ", ").alias("cluster_names"), "anomaly_count"))
 register("platform_distribution", lambda s, d: stats.platform_distribution(
     laptops(s, d).withColumn("platform", F.col("source"))).withColumn("mean", numeric.half_even(F.col("mean"), 2)))
 register("run_summary", lambda s, d: stats.run_summary(market.market_offers(s, d), ["Jumia", "Amazon", "AliExpress"]))
@@ -267,6 +305,30 @@ register("band_summary", lambda s, d: segments.cluster_summary(banded(s, d)))
 register("band_table", lambda s, d: segments.cluster_table(banded(s, d)))
 register("kmeans_summary", lambda s, d: segments.cluster_summary(segments.kmeans_segments(laptops(s, d))))
 register("k_scores", lambda s, d: segments.score_k(laptops(s, d)))
+register("k_scores_features", lambda s, d: segments.score_k(laptops(s, d).withColumn(
+    "price_step", F.round("log_price", 2)), features=["price_step", "ram_gb", "cpu_score"], restarts=3))
+
+
+@query
+def best_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of segments that the report takes."""
+    chosen = segments.choose_k(segments.score_k(laptops(spark, sf)))
+    return spark.range(1).select(F.lit(chosen).alias("best_k"), F.lit(max(chosen, 5)).alias("used_k"))
+
+
+QUALITY = ["x0", "x1", "x2"]
+
+
+@query
+def band_vector_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of the price bands and of brand groups over price, memory and processor."""
+    df = banded(spark, sf).withColumns({
+        "price_step": F.round("log_price", 2), "gaming_id": F.col("is_gaming").cast("int"),
+        "gpu_id": F.col("has_gpu").cast("int") * 2 + F.col("is_tactile").cast("int")})
+    points = segments.kmeans_points(df, ["price_step", "ram_gb", "cpu_score"])
+    return cluster_quality.vector_quality(points, QUALITY, ["cluster_id", "gaming_id", "gpu_id"])
+
+
 register("cluster_names", lambda s, d: segments.name_clusters(laptops(s, d).select(
     "id", "link", "price", (F.col("id") % 7 - 1).cast("int").alias("cluster_id"))))
 register("detect_iqr", lambda s, d: anomaly.detect_iqr(laptops(s, d), 0.7).select("id", "link", "price", "anomaly_iqr", "anomaly_iqr_type"))
@@ -282,6 +344,9 @@ register("isolation_forest", lambda s, d: iforest.detect_isolation_forest(laptop
     "id", "link", "price", "anomaly_iforest", "anomaly_iforest_score"))
 register("local_outlier_factor", lambda s, d: lof.detect_lof(laptops(s, d)).select(
     "id", "link", "price", "anomaly_lof", "anomaly_lof_score"))
+register("local_outlier_factor_steps", lambda s, d: lof.detect_lof(
+    laptops(s, d).withColumn("price_step", F.round("log_price", 2)), ["price_step", "ram_gb", "storage_gb", "cpu_score"]).select(
+    "id", "link", "price", "anomaly_lof", "anomaly_lof_score"))
 register("pca_scatter", lambda s, d: projection.pca_scatter(banded(s, d)))
 
 # --- samples -----------------------------------------------------------------------------

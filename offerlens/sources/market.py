@@ -93,6 +93,12 @@ def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, PRICES_SQL, "lineitem")
 
 
+def market_search_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices with title and platform of their product."""
+    products = market_products(spark, sf_dir).select("product_id", "title", "platform")
+    return market_prices(spark, sf_dir).join(products, "product_id")
+
+
 def market_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SEARCHES_SQL, "orders")
 

@@ -190,6 +190,7 @@ add("price_parsers", MAD, f"""SELECT id, price AS raw, free, coalesce(TRY_CAST({
   {rate("upper(currency)", dims.ACCESSORY_RATES)} AS accessory_rate FROM num""")
 add("title_features", FEATURES, """SELECT id, title, price, brand_detected, ram_gb, storage_gb, storage_type, cpu_score,
   cpu_generation, has_gpu, is_tactile, is_refurbished, price_category, ram_category, is_gaming FROM laptops""")
+ORACLES["sql_title_features"], ORACLES["sql_price_parsers"] = ORACLES["title_features"], ORACLES["price_parsers"]
 add("price_features", FEATURES, f"""SELECT id, link, round(log_price, 9) AS log_price, price_per_gb_ram,
   {levels("price", dims.BASKET_PRICE_LEVELS, "premium", "<=")} AS basket_level FROM laptops""")
 add("text_helpers", f"offers AS ({OFFERS_SQL})", f"""SELECT id, regexp_extract(title, '\\S+') AS brand_word,
@@ -356,6 +357,87 @@ add("search_stats", f"p AS (SELECT search_id, CAST(price AS DOUBLE) AS price FRO
     f"""SELECT search_id, {r("min(price)")} AS min_price, {r("max(price)")} AS max_price, {r("avg(price)")} AS mean_price,
   {r(q(0.5))} AS median_price, {r("stddev_samp(price)")} AS std_price, {r(q(0.25))} AS q1, {r(q(0.75))} AS q3, count(*) AS count
   FROM p GROUP BY 1 HAVING count(*) >= 2""")
+# brute force over all pairs of distinct vectors
+VECTOR_LABELS = ["cluster_id", "gaming_id", "gpu_id"]
+_columns = {"x0": "price_step", "x1": "ram_gb", "x2": "cpu"}
+QUALITY = BANDED + f""", raw AS (SELECT {r("log_price")} AS price_step, CAST(ram_gb AS DOUBLE) AS ram_gb, nullif(cpu_score, 0) AS cpu, cluster_id,
+    CAST(is_gaming AS INT) AS gaming_id, CAST(has_gpu AS INT) * 2 + CAST(is_tactile AS INT) AS gpu_id FROM banded),
+filled AS (SELECT {", ".join(f"coalesce({c}, (SELECT median({c}) FROM raw), 0) AS {c}" for c in _columns.values())}, {", ".join(VECTOR_LABELS)} FROM raw),
+marks AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS {c}_m, coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) AS {c}_w" for c in _columns.values())} FROM filled),
+vec AS (SELECT row_number() OVER () AS i, * FROM (SELECT {", ".join(f"({c} - {c}_m) / {c}_w AS {x}" for x, c in _columns.items())}, {", ".join(VECTOR_LABELS)}, count(*) AS c
+  FROM filled, marks GROUP BY ALL)),
+long AS ({" UNION ALL ".join(f"SELECT '{c}' AS labelling, i, x0, x1, x2, {c} AS y, c FROM vec" for c in VECTOR_LABELS)}),
+sizes AS (SELECT labelling, y, sum(c) AS n, sum(c * x0) / sum(c) AS m0, sum(c * x1) / sum(c) AS m1, sum(c * x2) / sum(c) AS m2 FROM long GROUP BY ALL),
+near AS (SELECT a.i, b.labelling, b.y, sum(b.c * sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2)) AS d FROM vec a, long b GROUP BY ALL),
+per AS (SELECT l.labelling, l.i, any_value(l.c) AS c, max(CASE WHEN near.y = l.y THEN n END) AS own, max(CASE WHEN near.y = l.y THEN d / nullif(n - 1, 0) END) AS a,
+    min(CASE WHEN near.y <> l.y THEN d / n END) AS b
+  FROM long l JOIN near ON near.i = l.i AND near.labelling = l.labelling JOIN sizes s ON s.labelling = l.labelling AND s.y = near.y GROUP BY 1, 2),
+sil AS (SELECT labelling, sum(c * CASE WHEN own > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(c) AS silhouette FROM per GROUP BY 1),
+spread AS (SELECT labelling, y, m0, m1, m2, n, (SELECT sum(c * sqrt((x0 - m0) ** 2 + (x1 - m1) ** 2 + (x2 - m2) ** 2)) / sum(c) FROM long WHERE long.labelling = sizes.labelling AND long.y = sizes.y) AS s FROM sizes),
+db AS (SELECT labelling, sum(w) / count(*) AS davies_bouldin FROM (SELECT a.labelling, a.y,
+    coalesce(max(CASE WHEN a.y <> b.y THEN (a.s + b.s) / nullif(sqrt((a.m0 - b.m0) ** 2 + (a.m1 - b.m1) ** 2 + (a.m2 - b.m2) ** 2), 0) END), 0) AS w
+  FROM spread a JOIN spread b USING (labelling) GROUP BY 1, 2) GROUP BY 1)"""
+_near = ["f0", "f1", "f2", "f3"]
+_raw = {"f0": r("log_price"), "f1": "CAST(ram_gb AS DOUBLE)", "f2": "CAST(storage_gb AS DOUBLE)", "f3": "CAST(cpu_score AS DOUBLE)"}
+LOF = FEATURES + f""", raw AS (SELECT id, link, price, {", ".join(f"{v} AS {n}" for n, v in _raw.items())} FROM laptops),
+filled AS (SELECT id, link, price, {", ".join(f"coalesce({n}, (SELECT median({n}) FROM raw), 0) AS {n}" for n in _near)} FROM raw),
+marks AS (SELECT {", ".join(f"median({n}) AS {n}_m, coalesce(nullif(quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25), 0), 1) AS {n}_w" for n in _near)} FROM filled),
+pts AS (SELECT id, link, price, {", ".join(f"({n} - {n}_m) / {n}_w + 0e0 AS {n}" for n in _near)} FROM filled, marks),
+vec AS (SELECT row_number() OVER () AS i, * FROM (SELECT {", ".join(_near)}, count(*) AS c FROM pts GROUP BY ALL)),
+k AS (SELECT greatest(5, least(20, (SELECT count(*) FROM pts) // 10)) AS k),
+pairs AS (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN b.c - 1 ELSE b.c END AS free, {", ".join(f"b.{n}" for n in _near)},
+    round(sqrt({" + ".join(f"(a.{n} - b.{n}) ** 2" for n in _near)}), 10) AS d FROM vec a, vec b WHERE a.i <> b.i OR b.c > 1),
+near AS (SELECT i, j, d, least(free, k - before) AS copies FROM (SELECT *, coalesce(sum(free) OVER (PARTITION BY i ORDER BY d, {", ".join(_near)}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs QUALIFY before < 20), k WHERE before < k),
+kd AS (SELECT i, max(d) AS kd FROM near GROUP BY 1),
+lrd AS (SELECT near.i, 1 / (sum(copies * greatest(kd, d)) / sum(copies) + 1e-10) AS lrd FROM near JOIN kd ON kd.i = near.j GROUP BY 1),
+lof AS (SELECT near.i, sum(copies * b.lrd) / sum(copies) / any_value(a.lrd) AS lof FROM near JOIN lrd a ON a.i = near.i JOIN lrd b ON b.i = near.j GROUP BY 1),
+scored AS (SELECT id, link, price, lof FROM pts JOIN vec USING ({", ".join(_near)}) JOIN lof USING (i))"""
+add("local_outlier_factor_steps", LOF, f"""SELECT id, link, price, -lof < (SELECT quantile_cont(-lof, 0.05) FROM scored) AS anomaly_lof,
+  {r("lof", 4)} AS anomaly_lof_score FROM scored""")
+add("band_vector_quality", QUALITY, f"""SELECT labelling, CAST(count(*) AS INT) AS clusters, CAST(sum(n) AS BIGINT) AS rows, CAST(min(n) AS BIGINT) AS smallest,
+  {r("any_value(silhouette)", 4)} AS silhouette, {r("any_value(davies_bouldin)", 4)} AS davies_bouldin
+  FROM sizes JOIN sil USING (labelling) JOIN db USING (labelling) GROUP BY 1""")
+# every pair of cuts of a search's sorted prices, and expected depths by pairs of its prices
+SEARCH_VALUES = f"""v0 AS (SELECT search_id, CAST(price AS DOUBLE) AS price, count(*) AS c FROM ({PRICES_SQL}) GROUP BY ALL),
+t0 AS (SELECT search_id, sum(c) AS n, count(*) AS m, sum(price * c) / sum(c) AS mean FROM v0 GROUP BY 1 HAVING sum(c) >= 2),
+t1 AS (SELECT search_id, any_value(n) AS n, any_value(m) AS m, any_value(mean) AS mean,
+  sqrt(sum(c * (price - mean) * (price - mean)) / sum(c)) AS sd FROM v0 JOIN t0 USING (search_id) GROUP BY 1),
+v AS (SELECT search_id, price, c, n, m, mean, sd, row_number() OVER w AS i, lag(price) OVER w AS below, lead(price) OVER w AS above,
+  sum(c) OVER w AS s0, sum(c * (price - mean) / nullif(sd, 0)) OVER w AS s1, sum(c * ((price - mean) / nullif(sd, 0)) ** 2) OVER w AS s2
+  FROM v0 JOIN t1 USING (search_id) WINDOW w AS (PARTITION BY search_id ORDER BY price))"""
+SEARCH_CUTS = SEARCH_VALUES + """, cuts AS (SELECT a.search_id, min_by((a.i, b.i), (round((
+    a.s2 - a.s1 * a.s1 / a.s0 + b.s2 - a.s2 - (b.s1 - a.s1) ** 2 / (b.s0 - a.s0) + z.s2 - b.s2 - (z.s1 - b.s1) ** 2 / (z.s0 - b.s0)
+    ) / a.n * 1e9), a.i, b.i)) AS cut
+  FROM v a JOIN v b ON a.search_id = b.search_id AND a.i < b.i JOIN v z ON z.search_id = a.search_id AND z.i = z.m AND b.i < z.i GROUP BY 1),
+placed AS (SELECT v.*, CASE WHEN cut IS NULL THEN i - 1 WHEN i <= cut[1] THEN 0 WHEN i <= cut[2] THEN 1 ELSE 2 END::INT AS cluster_id
+  FROM v LEFT JOIN cuts USING (search_id) WHERE n >= 3),
+clusters AS (SELECT search_id, cluster_id, (['Économique', 'Intermédiaire', 'Premium'])[cluster_id + 1] AS name,
+  (sum(price * c) / sum(c) - any_value(mean)) / CASE WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1 END AS center,
+  sum(price * c) / sum(c) AS mean_price, min(price) AS lowest, max(price) AS highest, sum(c) AS rows FROM placed GROUP BY 1, 2)"""
+
+
+def mean_path(x: str) -> str:
+    return f"CASE WHEN {x} <= 1 THEN 0 WHEN {x} <= 2 THEN 1 ELSE 2 * (ln(greatest({x}, 3) - 1) + 0.5772156649015329) - 2 * ({x} - 1e0) / {x} END"
+
+
+SEARCH_FLAGS = SEARCH_VALUES + f""", depths AS (SELECT a.search_id, a.price, any_value(a.c) AS c, any_value(a.n) AS n,
+    sum(CASE WHEN b.price > a.price THEN (b.price - b.below) / (b.price - a.price) WHEN b.price < a.price THEN (b.above - b.price) / (a.price - b.price)
+      ELSE 0 END) + {mean_path("any_value(a.c)")} AS depth
+  FROM v a JOIN v b USING (search_id) WHERE a.n >= 5 GROUP BY 1, 2),
+scores AS (SELECT *, -round(2 ** (-depth / ({mean_path("n")})), 9) AS score FROM depths),
+cut AS (SELECT search_id, quantile_cont(score, 0.05) AS cut FROM (SELECT search_id, score, unnest(range(c)) FROM scores) GROUP BY 1),
+flags AS (SELECT search_id, price AS p, score FROM scores JOIN cut USING (search_id) WHERE score < cut)"""
+add("search_clusters", SEARCH_CUTS, f"""SELECT search_id, cluster_id, name, {r("center", 6)} AS center, {r("mean_price")} AS mean_price,
+  lowest, highest, CAST(rows AS BIGINT) AS rows FROM clusters""")
+add("search_flagged", SEARCH_FLAGS + f", prices AS ({PRICES_SQL}), products AS ({PRODUCTS_SQL})", f"""SELECT search_id, product_id, title, platform,
+  price, {r("score", 4)} AS score FROM prices JOIN products USING (product_id) JOIN flags USING (search_id) WHERE CAST(price AS DOUBLE) = p""")
+add("search_reports", SEARCH_CUTS + SEARCH_FLAGS.removeprefix(SEARCH_VALUES) + f""", s AS (SELECT search_id,
+    max(center) FILTER (WHERE cluster_id = 0) AS c0, max(center) FILTER (WHERE cluster_id = 1) AS c1, max(center) FILTER (WHERE cluster_id = 2) AS c2,
+    string_agg(name, ', ' ORDER BY cluster_id) AS names FROM clusters GROUP BY 1),
+a AS (SELECT v.search_id, sum(c) AS k FROM flags JOIN v ON flags.search_id = v.search_id AND p = v.price GROUP BY 1)""",
+    f"""SELECT search_id, CAST(t1.n AS BIGINT) AS count, {r("c0", 6)} AS center_0, {r("c1", 6)} AS center_1, {r("c2", 6)} AS center_2,
+  coalesce(names, '') AS cluster_names, CAST(coalesce(k, 0) AS BIGINT) AS anomaly_count FROM t1 LEFT JOIN s USING (search_id) LEFT JOIN a USING (search_id)""")
 add("platform_distribution", FEATURES, f"""SELECT source AS platform, count(price) AS count, {r("avg(price)")} AS mean,
   min(price) AS min, max(price) AS max FROM laptops GROUP BY 1""")
 add("run_summary", f"offers AS ({OFFERS_SQL})", """SELECT search_query, count(*) FILTER (WHERE source = 'Jumia') AS jumia_count,
