@@ -12,8 +12,8 @@ from ..operators import (
     search_analysis, segments, stats,
 )
 from ..session import shared_folder
-from ..sources import cards, market, offers, snapshots, terms
-from ..streaming import offers as offer_streams
+from ..sources import cards, keyed, market, offers, snapshots, terms
+from ..streaming import offers as offer_streams, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -214,6 +214,32 @@ def upsert_offers(spark: SparkSession, sf: str) -> DataFrame:
     return history.upsert_offers(base, batch, ORDER).select("link", "title", "price", "currency", "date_scraped")
 
 
+@query
+def upsert_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """``upsert_offers`` into a keyed table: the older half as one batch, the newer half as a stream."""
+    folder = shared_folder(spark, "offer-table")
+    base, _ = _base_and_batch(spark, sf)
+    table = keyed.KeyedTable(spark, f"{folder}/table", ["link"])
+    offer_streams.upsert_batch(table, base, ORDER, "base", ["price", "date_scraped"])
+    late = market.offer_stream(spark, sf).where(F.col("date_scraped") >= F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
+    late = clean.convert_prices(late).withColumn("price", F.coalesce("price", F.lit(0.0)))
+    offer_streams.upsert_stream(late, f"{folder}/table", f"{folder}/checkpoint", ORDER).awaitTermination()
+    return table.read().select("link", "title", "price", "currency", "date_scraped")
+
+
+@query
+def stats_upkept(spark: SparkSession, sf: str) -> DataFrame:
+    """Price statistics by shop after three batches of upserts, from value counts that each batch brought up to date."""
+    folder = shared_folder(spark, "offer-counts")
+    df = clean.convert_prices(market.market_offers(spark, sf)).withColumn("price", F.coalesce("price", F.lit(0.0)))
+    table = keyed.KeyedTable(spark, f"{folder}/table", ["link"])
+    counts = upkeep.StoredCounts(spark, f"{folder}/counts", ["source"])
+    year = F.year("date_scraped")
+    for name, part in {"early": year < 1994, "middle": (year >= 1994) & (year < 1997), "late": year >= 1997}.items():
+        offer_streams.upsert_batch(table, df.where(part), ORDER, name, ["price", "date_scraped"], (counts,))
+    return counts.statistics()
+
+
 @query
 def upsert_accessories(spark: SparkSession, sf: str) -> DataFrame:
     base, batch = _base_and_batch(spark, sf)

@@ -81,6 +81,15 @@ def market_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, OFFERS_SQL, "lineitem", "part")
 
 
+def offer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``market_offers`` as a stream over the files that are there now."""
+    tables(spark, sf_dir, "part", "lineitem")
+    schema = spark.table("lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    lines.createOrReplaceTempView("lineitem")
+    return spark.sql(OFFERS_SQL)
+
+
 def market_accessories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, ACCESSORIES_SQL, "lineitem", "part")
 

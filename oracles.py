@@ -250,6 +250,14 @@ for kind, updated in [("offers", ["price", "date_scraped"]), ("accessories", ["p
 f AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY link ORDER BY {OLDEST}) = 1),
 l AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY link ORDER BY {LATEST}) = 1)""",
         f"SELECT {picks} FROM f JOIN l ON f.link = l.link")
+ORACLES["upsert_streamed"] = ORACLES["upsert_offers"]
+_box = ", ".join(f"{r(x)} AS {n}" for n, x in {
+    "mean": "avg(l.price)", "min": "min(l.price)", "max": "max(l.price)", "std": "stddev_samp(l.price)", "q1": "quantile_cont(l.price, 0.25)",
+    "median": "quantile_cont(l.price, 0.5)", "q3": "quantile_cont(l.price, 0.75)"}.items())
+add("stats_upkept", HALVES + f""",
+f AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY link ORDER BY {OLDEST}) = 1),
+l AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY link ORDER BY {LATEST}) = 1)""",
+    f"SELECT f.source AS source, count(*) AS count, {_box} FROM f JOIN l ON f.link = l.link GROUP BY 1")
 add("price_drops", HALVES + f""", stored AS (SELECT link, price AS old FROM halves WHERE part = 0
   QUALIFY row_number() OVER (PARTITION BY link ORDER BY {LATEST}) = 1)""", f"""SELECT title, {r("old")} AS old_price,
   {r("price")} AS new_price, {r("old - price")} AS diff, {r("(old - price) / old * 100", 1)} AS percentage, currency, h.link, source
