@@ -81,6 +81,24 @@ register("import_accessories", lambda s, d: offers.import_accessories(raw_text(s
 register("refresh_offers", lambda s, d: offers.refresh_offers(raw_text(s, d)).drop("image"))
 
 
+def damaged_csv(spark: SparkSession, sf: str) -> offers.CsvRead:
+    """All offers as CSV text, some lines with a field too many, one too few or a quote that does not close, read back."""
+    df = raw_text(spark, sf)
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in offers.LAPTOP_CSV.fieldNames()]
+    i = F.col("id")
+    line = F.concat_ws(",", *quoted)
+    line = F.when(i % 97 == 0, F.concat(line, F.lit(","))).when(
+        i % 101 == 0, F.concat(F.lit('"open,'), F.col("source"))).when(i % 89 == 0, F.concat_ws(",", *quoted[:-1])).otherwise(line)
+    folder = shared_folder(spark, "offers-csv")
+    df.select(line).write.text(folder)
+    return offers.read_csv_lines(spark, folder, offers.LAPTOP_CSV, header=False)
+
+
+register("csv_rows", lambda s, d: offers.import_laptops(damaged_csv(s, d).rows).drop("image"))
+register("csv_rejects", lambda s, d: damaged_csv(s, d).rejected.groupBy("reason").agg(
+    F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters")))
+
+
 @query
 def price_parsers(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.col("price")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions import prices
 from ..functions.numeric import strip
@@ -35,17 +37,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header and quotes; malformed lines are skipped, a missing file is an empty frame.
+class CsvRead(NamedTuple):
+    """Rows of a CSV file, the lines that are none (columns as far as they were read, ``line``, ``reason``), and how many there were.
 
-    A byte order mark before the header does no harm: columns go by place.
+    ``counts`` is filled by the first action over ``rows``: ``lines`` and ``rejected``.
     """
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.csv(
-        path, header=True, schema=schema, mode="DROPMALFORMED", enforceSchema=True, quote='"', escape='"',
-        multiLine=False,
-    )
+
+    rows: DataFrame
+    rejected: DataFrame
+    counts: Observation
+
+
+def read_csv_lines(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False, header: bool = True) -> CsvRead:
+    """CSV with quotes. A line with too many fields, or with a quote that does not close, is rejected; one with too few is filled up with nulls.
+
+    Whether a line is rejected does not depend on the columns that a query selects. With ``multi_line`` quoted values may hold
+    line breaks; a file is then read by one task. A byte order mark before the header does no harm: columns go by place. A
+    missing file is an empty one.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("line", TEXT)])
+    if path_exists(spark, path):
+        # without pruning every query sees all fields of a line, and so the same malformed ones
+        lines = spark.read.option("columnPruning", False).csv(
+            path, header=header, schema=whole, mode="PERMISSIVE", columnNameOfCorruptRecord="line", enforceSchema=True, quote='"', escape='"',
+            multiLine=multi_line,
+        )
+    else:
+        lines = spark.createDataFrame([], whole)
+    # Spark reads no raw lines on their own, so they come with a column
+    lines = lines.withColumn("line", F.concat("line", F.substring(F.coalesce(F.col(schema.fieldNames()[0]), F.lit("")), 1, 0)))
+    # a malformed line once more with a mark behind it: it has too few fields if the mark takes the place of one
+    mark, names = "\u0001", ", ".join(f"f{i} string" for i in range(len(schema)))
+    fields = F.from_csv(F.concat("line", F.lit("," + mark)), names, {"quote": '"', "escape": '"'})
+    short = F.array_contains(F.array(*[F.coalesce(fields[f"f{i}"], F.lit("")) for i in range(len(schema))]), mark)
+    odd_quotes = F.length(F.translate("line", '"', "")) % 2 != F.length("line") % 2
+    reason = F.when(F.col("line").isNull(), None).when(odd_quotes, "open quote").when(~short, "too many fields")
+    judged = lines.withColumn("reason", reason)
+    counts = Observation()
+    rows = judged.observe(counts, F.count(F.lit(1)).alias("lines"), F.count("reason").alias("rejected"))
+    return CsvRead(rows.where("reason IS NULL").drop("line", "reason"), judged.where("reason IS NOT NULL"), counts)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False, header: bool = True) -> DataFrame:
+    """The rows of ``read_csv_lines``."""
+    return read_csv_lines(spark, path, schema, multi_line, header).rows
 
 
 def load_laptops(offers: DataFrame) -> DataFrame:

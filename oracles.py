@@ -170,6 +170,14 @@ add("missing_counts", f"offers AS ({OFFERS_SQL})", "SELECT " + ", ".join(
 COMMA = "replace(replace(price, ' ', ''), ',', '.')"
 add("import_laptops", f"offers AS ({OFFERS_SQL})", f"""SELECT title, coalesce(TRY_CAST({COMMA} AS DOUBLE), 0e0) AS price, currency,
   left(brand, 50) AS brand, source, link, search_query, page, is_gaming, date_scraped FROM offers""")
+_flag = "CASE WHEN is_gaming THEN 'True' ELSE 'False' END"
+_cells = ["title", "price", "currency", "brand", "source", "link", "''", "search_query", "page", _flag, "strftime(date_scraped, '%Y-%m-%d %H:%M:%S')"]
+_length = " + ".join(f"length(CAST({c} AS VARCHAR)) + 2" for c in _cells) + " + 10"
+add("csv_rows", f"offers AS ({OFFERS_SQL})", f"""SELECT title, coalesce(TRY_CAST({COMMA} AS DOUBLE), 0e0) AS price, currency,
+  left(brand, 50) AS brand, source, link, search_query, page, is_gaming, CASE WHEN id % 89 <> 0 THEN date_scraped END AS date_scraped
+  FROM offers WHERE id % 97 <> 0 AND id % 101 <> 0""")
+add("csv_rejects", f"offers AS ({OFFERS_SQL})", f"""SELECT CASE WHEN id % 97 = 0 THEN 'too many fields' ELSE 'open quote' END AS reason, count(*) AS lines,
+  CAST(sum(CASE WHEN id % 97 = 0 THEN {_length} + 1 ELSE length(source) + 6 END) AS BIGINT) AS characters FROM offers WHERE id % 97 = 0 OR id % 101 = 0 GROUP BY 1""")
 add("import_accessories", f"offers AS ({OFFERS_SQL})", """SELECT 'mouse' AS category, title,
   TRY_CAST(replace(price, ',', '.') AS DOUBLE) AS price, 'EUR' AS currency, brand, source, link, search_query, page,
   true AS in_stock, is_gaming, date_scraped FROM offers WHERE TRY_CAST(replace(price, ',', '.') AS DOUBLE) IS NOT NULL""")
