@@ -14,6 +14,7 @@ from ..operators import (
 from ..session import shared_folder
 from ..sources import cards, keyed, market, offers, snapshots, terms
 from ..streaming import offers as offer_streams, upkeep
+from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,3 +464,11 @@ register("snapshot_rows", lambda s, d: snapshots.valid_rows(
 register("merge_feeds", lambda s, d: offers.merge_feeds([
     market.market_offers(s, d).where(F.col("source") == x).drop(*(["currency"] if x == "Jumia" else []))
     for x in ["Jumia", "Amazon", "AliExpress"]]).select("id", "link", "source", "currency"))
+
+
+@query
+def report_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report as one JSON document, by its keys."""
+    numbers = market.market_offers(spark, sf).withColumn("price", prices.marketplace_price(F.col("price")))
+    results = report.market_report(numbers, market.market_accessories(spark, sf), restarts=2)
+    return report.payload_keys(report.payload(results))

@@ -1,15 +1,16 @@
-"""The whole market report: every result as a DataFrame, and its JSON form."""
+"""The whole market report: every result as a DataFrame, and all of them as one nested JSON document."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import anomaly, distribution, iforest, lof, rules, sampling, segments, stats
+from ..operators import anomaly, distribution, iforest, lof, projection, rules, sampling, segments, stats
 from ..operators.clean import clean_offers, load_bounds, nulls_for_json, prepare_accessories
 from ..operators.enrich import add_features
 from ..operators.scaling import scaled
 from ..session import materialize
 
+SCATTER_ROWS = 300
 SCATTER_ID = ["link", "title", "price", "source"]
 
 
@@ -41,7 +42,7 @@ def market_report(
     out["best_k"] = df.sparkSession.range(1).select(F.lit(chosen).alias("best_k"))
     clustered = keep(segments.kmeans_segments(df, chosen, restarts=restarts))
     out["kmeans_summary"] = segments.cluster_summary(clustered)
-    out["cluster_scatter"] = segments.scatter_row(sampling.hash_sample(clustered, 300, SCATTER_ID))
+    out["cluster_scatter"] = segments.scatter_row(sampling.hash_sample(clustered, SCATTER_ROWS, SCATTER_ID))
     banded = segments.price_bands(df)
     out["dbscan_summary"] = segments.cluster_summary(banded)
     out["dbscan_attrs"] = segments.band_quality(banded)
@@ -49,6 +50,8 @@ def market_report(
     flagged = keep(anomaly.detect_contextual(lof.detect_lof(iforest.detect_isolation_forest(flagged))))
     out["anomaly_summary"] = anomaly.anomaly_summary(flagged)
     out["anomalies"] = anomaly.explained_anomalies(flagged, "iforest", 150)
+    out["pca_scatter"] = sampling.hash_sample(projection.pca_scatter(clustered), SCATTER_ROWS, ["title", "price", "x", "y"])
+    out["radar_clusters"] = stats.radar(segments.cluster_table(clustered), ["median", "count", "mean"])
     out["association_rules"] = rules.laptop_rules(flagged)
     acc = keep(prepare_accessories(accessories))
     out["accessory_stats"] = stats.accessory_stats(acc)
@@ -57,58 +60,62 @@ def market_report(
     return out
 
 
+#: Sections of the document: name in the document -> (result, columns that its rows stand in order of, - for falling). No columns: one object.
 PAYLOAD = {
     "laptops": {
-        "stats": "stats", "best_k": "best_k", "k_scores": "k_scores", "kmeans_summary": "kmeans_summary",
-        "dbscan_summary": "dbscan_summary", "dbscan_attrs": "dbscan_attrs", "histogram": "histogram",
-        "boxplot_by_source": "boxplot_by_source", "cluster_scatter": "cluster_scatter", "brand_bar": "brand_bar",
-        "anomalies": "anomalies", "anomaly_summary": "anomaly_summary", "association_rules": "association_rules",
+        "stats": ("stats", []), "best_k": ("best_k", []), "k_scores": ("k_scores", ["k"]),
+        "kmeans_summary": ("kmeans_summary", ["mean"]), "dbscan_summary": ("dbscan_summary", ["mean"]), "dbscan_attrs": ("dbscan_attrs", []),
+        "histogram": ("histogram", ["bin"]), "boxplot_by_source": ("boxplot_by_source", ["source"]),
+        "cluster_scatter": ("cluster_scatter", ["price", "title"]), "pca_scatter": ("pca_scatter", ["price", "title"]),
+        "brand_bar": ("brand_bar", ["-count", "brand_detected"]), "radar_clusters": ("radar_clusters", ["median_axis", "cluster"]),
+        "anomalies": ("anomalies", ["score", "price", "title"]), "anomaly_summary": ("anomaly_summary", ["method"]),
+        "association_rules": ("association_rules", ["-lift", "antecedent", "consequent"]),
     },
     "accessories": {
-        "stats_by_category": "accessory_stats", "boxplot_categories": "accessory_stats",
-        "association_rules": "accessory_rules",
+        "stats_by_category": ("accessory_stats", ["category"]), "boxplot_categories": ("accessory_stats", ["category"]),
+        "association_rules": ("accessory_rules", ["-lift", "antecedent", "consequent"]),
     },
-    "cross_association": {"rules": "cross_rules"},
+    "cross_association": {"rules": ("cross_rules", ["-lift", "antecedent", "consequent"])},
 }
 
 
-def as_json_rows(results: dict[str, DataFrame]) -> DataFrame:
-    """(section, name, json): one row per result row, NaN and infinities as null."""
-    parts = [
-        nulls_for_json(results[source]).select(
-            F.lit(section).alias("section"), F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("json")
-        )
-        for section, names in PAYLOAD.items() for name, source in names.items() if source in results
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _value(df: DataFrame, order: list[str]) -> Column:
+    """A bounded result as one value: an array of its rows in order, or its only row."""
+    clean = nulls_for_json(df)
+    if not order:
+        return clean.limit(1).select(F.struct("*")).scalar()
+    keys = [-F.col(c[1:]).cast("double") if c.startswith("-") else F.col(c) for c in order if c.removeprefix("-") in df.columns]
+    placed = F.struct(F.struct(*keys, *df.columns).alias("place"), F.struct(*df.columns).alias("row")) if keys else F.struct(F.struct(*df.columns).alias("row"))
+    return clean.agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["row"])).scalar()
 
 
-def write_payload(results: dict[str, DataFrame], folder: str) -> None:
-    """JSON files by section and name."""
-    as_json_rows(results).write.mode("overwrite").partitionBy("section", "name").json(folder)
+def payload(results: dict[str, DataFrame]) -> DataFrame:
+    """One row with the whole document as JSON, assembled in one plan; NaN and infinities are null.
 
+    Every result is bounded: summaries, top lists, samples of points.
+    """
+    spark = results["stats"].sparkSession
+    sections = []
+    for section, names in PAYLOAD.items():
+        values = [_value(results[source], order).alias(name) for name, (source, order) in names.items()]
+        sections.append((values[0] if section == "cross_association" else F.struct(*values)).alias(section))
+    text = F.to_json(F.struct(*sections), {"ignoreNullFields": "false"})
+    return spark.range(1).select(text.alias("payload"))
 
-def search_analysis(prices: DataFrame, searches: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Statistics and platform distribution of all searches at once."""
-    return {
-        "statistics": stats.search_stats(prices),
-        "platform_distribution": stats.platform_distribution(prices, ["search_id"]),
-    }
 
+def payload_keys(document: DataFrame) -> DataFrame:
+    """(section, name, json) of every key of the document."""
+    rows = []
+    for section, names in PAYLOAD.items():
+        for name in names:
+            path = "$.cross_association" if section == "cross_association" else f"$.{section}.{name}"
+            rows.append(F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.get_json_object("payload", path).alias("json")))
+    return document.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
-def analyse_search(prices: DataFrame, search_id: int) -> dict[str, DataFrame]:
-    """Segments (3) and flagged offers of one chosen search, when it has enough rows."""
-    mine = materialize(prices.where(F.col("search_id") == search_id).withColumn("price", F.col("price").cast("double")))
-    rows = mine.count()
-    out = search_analysis(mine)
-    if rows >= 3:
-        out["clusters"] = segments.kmeans_segments(mine, 3, ["price"])
-    if rows >= 5:
-        out["flagged"] = iforest.detect_isolation_forest(mine, ["price"], trees=100).where("anomaly_iforest")
-    return out
+
+def write_payload(results: dict[str, DataFrame], folder: str) -> None:
+    """The document as one line of text; it is bounded, so one file."""
+    payload(results).coalesce(1).write.mode("overwrite").text(folder)
 
 
 def save_report(spark: SparkSession, results: dict[str, DataFrame], folder: str) -> None:
