@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.features import basket_price_category, item, price_range, yes_no
 from ..functions.numeric import half_even
-from ..session import materialize
+from ..session import materialize, stored
 from .sampling import paired
 
 LAPTOP_ITEMS = ["brand_detected", "price_category", "is_gaming", "has_gpu", "cluster"]
@@ -52,10 +52,34 @@ def _combinations(items: Column, size: int) -> Column:
     ))
 
 
+def _pairs(items: Column) -> Column:
+    """All sorted pairs of a sorted array."""
+    rest = lambda i: F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
+
+
+def _candidates(frequent: DataFrame, size: int) -> DataFrame:
+    """Itemsets of ``size`` all of whose subsets of one item less are frequent.
+
+    Two sets that differ in their last item only are joined; the subsets are then looked up.
+    """
+    prefix, last = F.slice("items", 1, size - 2), F.element_at("items", -1)
+    ends = frequent.groupBy(prefix.alias("p")).agg(F.array_sort(F.collect_list(last)).alias("ends"))
+    joined = ends.select(F.explode(F.transform(_pairs(F.col("ends")), lambda x: F.concat("p", x))).alias("items"))
+    if size == 2:
+        return joined
+    subsets = F.transform("items", lambda x: F.array_except("items", F.array(x)))
+    parts = joined.select(F.col("items").alias("whole"), F.explode(subsets).alias("items"))
+    held = parts.join(frequent, "items", "left_semi").groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
+    return held.where(F.col("n") == size).select(F.col("whole").alias("items"))
+
+
 def frequent_itemsets(counted: DataFrame, support: Column | float, max_len: int = 3) -> DataFrame:
-    """(items, support) of all itemsets up to ``max_len`` items with enough support.
+    """(items, support) of all itemsets up to ``max_len`` items with enough support, level by level.
 
-    Baskets are cut to frequent items before larger sets are formed.
+    A basket keeps the frequent sets it holds, one row each. Sets of the next size come from two of them that differ in the last
+    item, and only those count whose subsets are all frequent, so a wide basket is never taken apart into all its subsets.
+    Levels end when nothing is frequent any more.
     """
     if max_len < 1:
         raise ValueError("max_len is at least 1")
@@ -63,20 +87,26 @@ def frequent_itemsets(counted: DataFrame, support: Column | float, max_len: int
     rows = full.agg(F.sum("c")).scalar()
     limit = support if isinstance(support, Column) else F.lit(float(support))
 
-    def counted_sets(data: DataFrame, sets: Column) -> DataFrame:
-        found = data.select(F.explode(sets).alias("items"), "c").groupBy("items").agg(F.sum("c").alias("c"))
+    def enough(held: DataFrame) -> DataFrame:
+        found = held.groupBy("items").agg(F.sum("c").alias("c"))
         return found.select("items", (F.col("c") / rows).alias("support")).where(F.col("support") >= limit)
 
-    singles = counted_sets(full, _combinations(F.col("items"), 1))
-    if max_len == 1:
-        return singles
-    # at most 1/support items per basket column are frequent
-    known = singles.agg(F.collect_list(F.element_at("items", 1))).scalar()
-    marked = full.withColumn("known", known)
-    cut = marked.select(F.filter("items", lambda x: F.array_contains(F.col("known"), x)).alias("items"), "c")
-    cut = cut.groupBy("items").agg(F.sum("c").alias("c"))
-    larger = F.concat(*[_combinations(F.col("items"), n) for n in range(2, max_len + 1)])
-    return singles.unionByName(counted_sets(cut, larger))
+    baskets_ = stored(full.select(F.monotonically_increasing_id().alias("b"), F.array_distinct("items").alias("all"), "c"), "baskets")
+    held = baskets_.select("b", "c", F.explode(F.transform("all", lambda x: F.array(x))).alias("items"))
+    frequent = stored(enough(held), "itemsets")
+    levels = frequent
+    for size in range(2, max_len + 1):
+        known = held.join(frequent, "items", "left_semi")
+        prefix, last = F.slice("items", 1, size - 2), F.element_at("items", -1)
+        # at most as many ends as the basket has items
+        ends = known.groupBy("b", "c", prefix.alias("p")).agg(F.array_sort(F.collect_list(last)).alias("ends"))
+        larger = ends.select("b", "c", F.explode(F.transform(_pairs(F.col("ends")), lambda x: F.concat("p", x))).alias("items"))
+        held = stored(larger.join(_candidates(frequent, size), "items", "left_semi") if size > 2 else larger, "held-sets")
+        frequent = stored(enough(held), "itemsets")
+        if frequent.isEmpty():
+            break
+        levels = levels.unionByName(frequent)
+    return levels
 
 
 def association_rules(itemsets: DataFrame, confidence: float = 0.6, lift: float = 1.0, max_len: int = 3) -> DataFrame:

@@ -411,6 +411,9 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 register("frequent_itemsets", lambda s, d: _items(s, d).select(
     F.array_join("items", ", ").alias("itemset"), numeric.half_even(F.col("support"), 6).alias("support")))
+register("frequent_itemsets_of_four", lambda s, d: rules.frequent_itemsets(
+    rules.baskets(banded(s, d), [*rules.LAPTOP_ITEMS, "storage_type", "source"]), 0.05, 4).select(
+    F.array_join("items", ", ").alias("itemset"), numeric.half_even(F.col("support"), 6).alias("support")))
 register("laptop_rules", lambda s, d: rules.laptop_rules(banded(s, d)))
 register("accessory_rules", lambda s, d: rules.accessory_rules(accessories(s, d)))
 register("cross_rules", lambda s, d: rules.cross_rules(laptops(s, d), accessories(s, d)))

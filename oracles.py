@@ -563,11 +563,11 @@ add("every_nth", FEATURES, """SELECT id, link, price FROM laptops QUALIFY (row_n
 
 
 # --- association rules
-def mined(items: dict[str, str], table: str, support: float, confidence: float, lift: float) -> str:
+def mined(items: dict[str, str], table: str, support: float, confidence: float, lift: float, sizes: tuple[int, ...] = (1, 2, 3)) -> str:
     """Itemsets and rules over the given item expressions, every split of every set."""
     names = list(items)
     cells = ", ".join(f"{x} AS i{n}" for n, x in enumerate(items.values()))
-    sets = [c for size in (1, 2, 3) for c in combinations(range(len(names)), size)]
+    sets = [c for size in sizes for c in combinations(range(len(names)), size)]
     union = " UNION ALL ".join(
         f"SELECT list_sort([{', '.join(f'i{i}' for i in c)}]) AS items FROM cells WHERE {' AND '.join(f'i{i} IS NOT NULL' for i in c)}"
         for c in sets)
@@ -588,6 +588,8 @@ LAP_ITEMS = {
 }
 LAP_RULES = BANDED + ", " + mined(LAP_ITEMS, "banded", 0.08, 0.6, 1.2)
 add("frequent_itemsets", LAP_RULES, f"SELECT array_to_string(items, ', ') AS itemset, {r('support', 6)} AS support FROM fr")
+FOUR = BANDED + ", " + mined(LAP_ITEMS | {"t": "'storage_type=' || storage_type", "s": "'source=' || source"}, "banded", 0.05, 0.6, 1.2, (1, 2, 3, 4))
+add("frequent_itemsets_of_four", FOUR, f"SELECT array_to_string(items, ', ') AS itemset, {r('support', 6)} AS support FROM fr")
 add("laptop_rules", LAP_RULES, "SELECT * FROM rules")
 ACC_ITEMS = {
     "c": "'accessory_category=' || accessory_category", "s": "'source=' || source", "p": "'price_range=' || price_range",
