@@ -101,7 +101,9 @@ def frequent_itemsets(counted: DataFrame, support: Column | float, max_len: int
         # at most as many ends as the basket has items
         ends = known.groupBy("b", "c", prefix.alias("p")).agg(F.array_sort(F.collect_list(last)).alias("ends"))
         larger = ends.select("b", "c", F.explode(F.transform(_pairs(F.col("ends")), lambda x: F.concat("p", x))).alias("items"))
-        held = stored(larger.join(_candidates(frequent, size), "items", "left_semi") if size > 2 else larger, "held-sets")
+        held = larger.join(_candidates(frequent, size), "items", "left_semi") if size > 2 else larger
+        if 2 < size < max_len:  # the next level would form them again
+            held = stored(held, "held-sets")
         frequent = stored(enough(held), "itemsets")
         if frequent.isEmpty():
             break
