@@ -69,10 +69,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language import identify, train_models
+    from .language import train_and_identify
 
     docs = table(spark, sf_dir, "documents")
-    named = identify(docs.select("doc_id", "text"), train_models(training_rows(docs)))
+    named = train_and_identify(docs.select("doc_id", "text", "lang"), teaches=~held_out(docs))
     return named.select("doc_id", held_out(named).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_accepted").alias("accepted"))
 
 

@@ -21,8 +21,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .shingles import STEP, U, mix
@@ -157,13 +158,8 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return both
 
 
-def train_models(rows: DataFrame, *, order: int = 4) -> Model:
-    """Model from ``rows`` (text, lang), all of them; null texts and null languages teach nothing.
-
-    Mean and deviation of the cross-entropy, for rejection, are those of all of a language's distinct texts of 100 letters or
-    more. Without such texts they are taken over its shorter ones by letters, and without any that get the language, the
-    largest of the other languages.
-    """
+def learn(rows: DataFrame, *, order: int = 4) -> Model:
+    """Model from ``rows`` (text, lang), all of them, without thresholds; null texts and null languages teach nothing."""
     rows = rows.where("lang is not null").select("text", "lang")
     counts = rows.mapInArrow(_count(order), "lang string, gram string, n long")
     values = kneser_ney(counts, order).mapInArrow(_slots(), "kind int, n int, lang string, slot long, value double")
@@ -180,21 +176,49 @@ def train_models(rows: DataFrame, *, order: int = 4) -> Model:
         out[inverse, lang[own]] = value[own]
         return keys, out
 
-    model = Model(languages, order, [array_of(0, o) for o in range(1, order + 1)], [array_of(1, o) for o in range(1, order + 1)])
-    model.entropy = np.tile([np.log(ALPHABET), 0.0], (len(languages), 1))
-    if languages:
-        texts = rows.where("text is not null").withColumn("_text", F.xxhash64("text"))
-        seen = identify(texts, model).where("lang = _lang").dropDuplicates(["lang", "_text"])
+    return Model(languages, order, [array_of(0, o) for o in range(1, order + 1)], [array_of(1, o) for o in range(1, order + 1)])
+
+
+def calibrated(model: Model, scored: DataFrame) -> Model:
+    """The model with thresholds from scored texts (lang, _text, _lang, _entropy, _letters; _text tells texts apart).
+
+    Mean and deviation of the cross-entropy, for rejection, are those of all of a language's distinct texts of 100 letters or
+    more that it gets. Without such texts they are taken over its shorter ones by letters, and without any that get the language, the
+    largest of the other languages.
+    """
+    model.entropy = np.tile([np.log(ALPHABET), 0.0], (len(model.languages), 1))
+    if model.languages:
+        seen = scored.where("lang = _lang").select("lang", "_text", "_entropy", "_letters").dropDuplicates(["lang", "_text"])
         by_letters = F.sum(F.col("_entropy") * F.col("_letters")) / F.sum("_letters")
         long = F.when(F.col("_letters") >= 100, F.col("_entropy"))
         stats = seen.groupBy("lang").agg(F.coalesce(F.avg(long), by_letters), F.coalesce(F.stddev_pop(long), F.lit(0.0))).collect()
         if stats:
             model.entropy[:] = max(m for _, m, _ in stats), max(d for _, _, d in stats)
         for name, mean, deviation in stats:
-            model.entropy[languages.index(name)] = (mean, deviation)
+            model.entropy[model.languages.index(name)] = (mean, deviation)
     return model
 
 
+def train_models(rows: DataFrame, *, order: int = 4) -> Model:
+    """Model from ``rows`` (text, lang) with thresholds from the same rows: ``learn``, then ``calibrated``."""
+    rows = rows.where("lang is not null").select("text", "lang")
+    model = learn(rows, order=order)
+    texts = rows.where("text is not null").withColumn("_text", F.xxhash64("text"))
+    return calibrated(model, scored(texts, model))
+
+
+def train_and_identify(docs: DataFrame, *, teaches: Column | None = None, order: int = 4) -> DataFrame:
+    """``identify`` with a model from the rows of ``docs`` (text, lang) that teach, by default all; every text is scored once.
+
+    The scores are stored with the columns of ``docs``; thresholds are read from the stored scores of the rows that teach.
+    """
+    teaches = F.lit(True) if teaches is None else F.coalesce(teaches, F.lit(False))
+    rows = docs.withColumns({"_teaches": teaches & F.col("lang").isNotNull() & F.col("text").isNotNull(), "_text": F.xxhash64("text")})
+    model = learn(rows.where("_teaches"), order=order)
+    found = stored(scored(rows, model).drop("text"), "language-scores")
+    return accepted(found.drop("_teaches", "_text"), calibrated(model, found.where("_teaches")))
+
+
 def _value(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
     hashes, values = pair
     if not len(hashes):
@@ -223,7 +247,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     return np.add.reduceat(logs, starts, axis=0)
 
 
-def _identify(model: Model, keep: list[str], text_col: str = "text", z: float = 6.0, slack: float = 0.8, spread: float = 3.0, sharp: float = 12.0):
+def _identify(model: Model, keep: list[str], text_col: str = "text", sharp: float = 12.0):
     count = len(model.languages)
 
     def of(texts: list[str | None]) -> tuple[list, ...]:
@@ -237,24 +261,22 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", z: float =
             cleaned = [clean(w) for w in known]
             logs[at, :count] = word_scores(model, cleaned)
             logs[at, count] = [len(w) + 1 for w in cleaned]
-        langs, scores, entropies, letters, accepted = [], [], [], [], []
+        langs, scores, entropies, letters = [], [], [], []
         for c in counters:
             total = logs[[index[w] for w in c], :].T @ np.fromiter(c.values(), dtype=np.float64, count=len(c)) if c else np.zeros(count + 1)
             n = total[count]
             if not n:
-                langs.append(UNKNOWN), scores.append(0.0), entropies.append(None), letters.append(0), accepted.append(False)
+                langs.append(UNKNOWN), scores.append(0.0), entropies.append(None), letters.append(0)
                 continue
             mean = total[:count] / n
             best = int(np.argmax(mean))
-            mu, sigma = model.entropy[best] if len(model.entropy) else (np.inf, 0.0)
             langs.append(model.languages[best])
             scores.append(float(1 / np.exp(sharp * (mean - mean[best])).sum()))
             entropies.append(float(-mean[best]))
             letters.append(int(n))
-            accepted.append(bool(-mean[best] <= mu + slack + z * np.sqrt(sigma**2 + spread**2 / n)))
-        return langs, scores, entropies, letters, accepted
+        return langs, scores, entropies, letters
 
-    kinds = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_letters", pa.int64()), ("_accepted", pa.bool_())]
+    kinds = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_letters", pa.int64())]
 
     def identify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -273,19 +295,37 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", z: float =
     return identify_batches
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", z: float = 6.0, slack: float = 0.8) -> DataFrame:
-    """Every row with all its columns, and _lang, _score (0 to 1), _entropy, _letters, _accepted.
+ADDED = ("_lang", "_score", "_entropy", "_letters")
 
-    Null texts and texts without a letter get ``und``, score 0, and are not accepted; so does everything if nothing was
-    learned. Long texts are read whole. Repeated rows get equal results. Columns of ``docs`` with the added names are replaced.
-    """
-    added = "_lang string, _score double, _entropy double, _letters long, _accepted boolean"
-    keep = [c for c in docs.columns if c not in {a.split()[0] for a in added.split(", ")}]
+
+def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """Every row with all its columns, and _lang, _score (0 to 1), _entropy, _letters; columns with these names are replaced."""
+    keep = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    added = [T.StructField(c, kind) for c, kind in zip(ADDED, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # arrays and names only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _identify(Model(**shared.value), keep, text_col, z, slack)(batches)
+        yield from _identify(Model(**shared.value), keep, text_col)(batches)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+
 
-    return rows.mapInArrow(run, f"{fields}, {added}")
+def accepted(rows: DataFrame, model: Model, *, z: float = 6.0, slack: float = 0.8, spread: float = 3.0) -> DataFrame:
+    """Scored rows with _accepted: the entropy is no more than ``slack`` and ``z`` deviations, for the text's length, above the language's mean."""
+    means, deviations = (
+        F.create_map(*[F.lit(x) for name, pair in zip(model.languages, model.entropy, strict=True) for x in (name, float(pair[i]))]) if model.languages else F.lit(None)
+        for i in (0, 1)
+    )
+    of = lambda table: F.try_element_at(table, F.col("_lang")) if model.languages else F.lit(None).cast("double")
+    most = of(means) + slack + z * F.sqrt(F.pow(of(deviations), F.lit(2.0)) + spread**2 / F.col("_letters"))
+    return rows.withColumn("_accepted", F.coalesce((F.col("_letters") > 0) & (F.col("_entropy") <= most), F.lit(False)))
+
+
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", z: float = 6.0, slack: float = 0.8) -> DataFrame:
+    """Every row with all its columns, and _lang, _score (0 to 1), _entropy, _letters, _accepted.
+
+    Null texts and texts without a letter get ``und``, score 0, and are not accepted; so does everything if nothing was
+    learned. Long texts are read whole. Repeated rows get equal results. Columns of ``docs`` with the added names are replaced.
+    """
+    return accepted(scored(docs.drop("_accepted"), model, text_col=text_col), model, z=z, slack=slack)

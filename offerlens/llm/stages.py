@@ -10,11 +10,14 @@ from .common import WORD
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; those that the operator rejects go. Models are trained on all of ``docs``."""
-    from .language import identify, train_models
+    """Documents whose language is accepted; those that the operator rejects go. Models are trained on all of ``docs``.
 
-    named = identify(docs, train_models(docs.select("text", "lang")))
-    return named.where("_accepted").select(*docs.columns)
+    A document travels as one struct, so that its columns keep their values whatever their names are.
+    """
+    from .language import train_and_identify
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    return train_and_identify(rows).where("_accepted").select("row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

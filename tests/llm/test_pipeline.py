@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 from offerlens.llm.common import table
+from offerlens.llm.language import identify, train_and_identify, train_models
 from offerlens.llm.mixing import mix_sources
 from offerlens.llm.packing import pack_documents
 from offerlens.llm import catalog, stages
@@ -24,6 +25,22 @@ def test_language_stage_learns_from_every_row(spark):
     assert kept.where("lang = 'el'").count() == 3
 
 
+def test_language_stage_keeps_columns_of_any_name(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    odd = docs.selectExpr("*", "doc_id AS _lang", "'x' AS _score", "1 AS _entropy", "doc_id AS _letters", "'y' AS _accepted", "'z' AS _text", "true AS _teaches", "doc_id AS `a b`")
+    kept = stages.language_id(spark, odd, SF)
+    assert kept.columns == odd.columns and kept.count() > 30
+    assert kept.where("_lang = doc_id AND _score = 'x' AND _letters = doc_id AND _accepted = 'y' AND _text = 'z' AND `a b` = doc_id").count() == kept.count()
+    assert stages.language_id(spark, docs.limit(0), SF).count() == 0
+
+
+def test_scoring_once_equals_scoring_twice(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    once = train_and_identify(docs, teaches=~catalog.held_out(docs)).select("doc_id", "_lang", "_score", "_accepted")
+    twice = identify(docs, train_models(catalog.training_rows(docs))).select("doc_id", "_lang", "_score", "_accepted")
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+
+
 def test_near_duplicates_with_null_and_shared_ids(spark):
     docs = table(spark, SF, "documents")
     word = lambda k: " ".join(f"{k}{i}" for i in range(60))
