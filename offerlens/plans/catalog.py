@@ -469,6 +469,85 @@ register("merge_feeds", lambda s, d: offers.merge_feeds([
     for x in ["Jumia", "Amazon", "AliExpress"]]).select("id", "link", "source", "currency"))
 
 
+# --- single operators -------------------------------------------------------------------------
+
+
+@query
+def neighbour_eps(spark: SparkSession, sf: str) -> DataFrame:
+    """A high percentile of the distance to the fifth neighbour, over all prices."""
+    eps = segments.neighbour_eps(laptops(spark, sf), 5, 99.9, 0.0)
+    return spark.range(1).select(numeric.half_even(F.lit(eps), 9).alias("eps"))
+
+
+@query
+def usable_features(spark: SparkSession, sf: str) -> DataFrame:
+    known = laptops(spark, sf).withColumn("rare", F.when(F.col("id") % 9 == 0, F.lit(1)))
+    names = scaling.usable_features(known, ["ram_gb", "storage_gb", "cpu_generation", "rare", "absent"])
+    return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+
+
+register("truth_flags", lambda s, d: market.market_offers(s, d).select("id", features.truth_text(F.element_at(F.array(*[
+    F.lit(x) for x in ["true", " YES ", "1", "no", None, "True", "0", ""]]), (F.col("id") % 8 + 1).cast("int"))).alias("flag")))
+
+
+@query
+def crawl_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers written as JSON by a crawl, read back."""
+    columns = ["id", "title", "price", "currency", "source", "link", "page"]
+    df = market.market_offers(spark, sf).select(*columns)
+    folder = shared_folder(spark, "crawl-json")
+    offers.write_json(df, folder)
+    return spark.read.schema(df.schema).json(folder)
+
+
+@query
+def accessories_preferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Accessories of the exported CSV, which goes before the table; without a CSV the table's."""
+    table = market.market_accessories(spark, sf)
+    text = {c: F.lit("") for c in offers.ACCESSORY_CSV.fieldNames() if c not in table.columns}
+    exported = table.where("in_stock").withColumns(text).select(*[F.col(c).cast("string") for c in offers.ACCESSORY_CSV.fieldNames()])
+    folder = shared_folder(spark, "accessory-csv")
+    offers.write_csv(exported, folder)
+    found = [offers.load_accessories(spark, path, table) for path in (folder, f"{folder}-none")]
+    parts = [df.select(F.lit(name).alias("origin"), "category", F.col("price").try_cast("double").alias("price")) for name, df in zip(["csv", "table"], found)]
+    return parts[0].unionByName(parts[1]).groupBy("origin", "category").agg(
+        F.count(F.lit(1)).alias("rows"), numeric.half_even(F.sum("price"), 2).alias("total"))
+
+
+# what holds for every result of an operator that draws at random
+
+
+@query
+def kmeans_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, segments, segments whose price range meets the next one's, and names in the order of prices."""
+    found = segments.kmeans_segments(laptops(spark, sf), restarts=2)
+    ranges = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("a"), F.max("price").alias("z"))
+    listed = ranges.agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("a", "z", "cluster"))).alias("r"))  # five rows
+    pairs = F.zip_with(F.slice("r", 1, F.size("r") - 1), F.slice("r", 2, F.size("r") - 1), lambda x, y: (x["z"] >= y["a"]).cast("int"))
+    return listed.select("rows", F.size("r").alias("segments"), F.aggregate(pairs, F.lit(0), lambda a, b: a + b).alias("meeting"), F.array_join("r.cluster", ", ").alias("names"))
+
+
+@query
+def forest_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, whether 1 to 5 % are flagged, whether scores lie between -1 and 0, and flagged rows with a score above another's."""
+    found = iforest.detect_isolation_forest(laptops(spark, sf))
+    score, flag = F.col("anomaly_iforest_score"), F.col("anomaly_iforest")
+    flagged, rows = F.count_if(flag), F.count(F.lit(1))
+    return found.agg(
+        rows.alias("rows"), ((flagged >= 0.01 * rows) & (flagged <= 0.05 * rows + 1)).alias("share_holds"), ((F.min(score) >= -1) & (F.max(score) <= 0)).alias("scores_hold"),
+        (F.max(F.when(flag, score)) <= F.min(F.when(~flag, score)) + 1e-4).alias("flagged_lie_below"))
+
+
+@query
+def pca_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, and whether the components are centred, uncorrelated and ordered by their variance."""
+    found = projection.pca_scatter(banded(spark, sf))
+    x, y = F.var_samp("x"), F.var_samp("y")
+    return found.agg(
+        F.count(F.lit(1)).alias("rows"), ((F.abs(F.avg("x")) < 1e-3) & (F.abs(F.avg("y")) < 1e-3)).alias("centred"),
+        (F.abs(F.covar_samp("x", "y")) < 1e-4 * F.sqrt(x * y)).alias("uncorrelated"), (x >= y).alias("ordered"))
+
+
 @query
 def report_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The whole report as one JSON document, by its keys."""

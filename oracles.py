@@ -653,6 +653,23 @@ KNOWN = " UNION ALL ".join(
     f"SELECT {quote(s)} AS shop, {quote(seed)} AS seed, {quote(t)} AS term" for (s, seed), ts in dims.SEARCH_TERMS.items() for t in ts)
 add("expand_terms", f"offers AS ({OFFERS_SQL}), known AS ({KNOWN}), seeds AS (SELECT DISTINCT source AS shop, search_query AS seed FROM offers)",
     "SELECT shop, s.seed, coalesce(term, s.seed) AS term FROM seeds s LEFT JOIN known k USING (shop, seed)")
+add("neighbour_eps", FEATURES + """, m AS (SELECT median(log_price) AS m, coalesce(nullif(quantile_cont(log_price, 0.75) - quantile_cont(log_price, 0.25), 0), 1) AS w FROM laptops),
+x AS (SELECT (log_price - m) / w AS x FROM laptops, m),
+d AS (SELECT """ + "least(" + ", ".join(
+        f"greatest(coalesce(x - lag(x, {a}) OVER o, 1e9), coalesce(lead(x, {4 - a}) OVER o - x, 1e9))" for a in range(5)) + """) AS d FROM x WINDOW o AS (ORDER BY x))""",
+    "SELECT round(quantile_cont(d, 0.999), 9) AS eps FROM d")
+add("usable_features", FEATURES, """SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS place, f AS feature FROM (
+  SELECT 0 AS o, 'log_price' AS f, 1 AS share UNION ALL SELECT 1, 'ram_gb', avg(CAST(ram_gb IS NOT NULL AS INT)) FROM laptops
+  UNION ALL SELECT 2, 'storage_gb', avg(CAST(storage_gb IS NOT NULL AS INT)) FROM laptops
+  UNION ALL SELECT 3, 'cpu_generation', avg(CAST(cpu_generation IS NOT NULL AS INT)) FROM laptops
+  UNION ALL SELECT 4, 'rare', avg(CAST(id % 9 = 0 AS INT)) FROM laptops) WHERE share >= 0.2""")
+add("truth_flags", f"offers AS ({OFFERS_SQL})", "SELECT id, id % 8 IN (0, 1, 2, 5) AS flag FROM offers")
+add("crawl_export", f"offers AS ({OFFERS_SQL})", "SELECT id, title, price, currency, source, link, page FROM offers")
+add("accessories_preferred", f"acc AS ({ACCESSORIES_SQL})", f"""SELECT origin, category, count(*) AS rows, {r("sum(CAST(price AS DOUBLE))")} AS total
+  FROM (SELECT 'csv' AS origin, category, price FROM acc WHERE in_stock UNION ALL SELECT 'table', category, price FROM acc) GROUP BY 1, 2""")
+add("kmeans_check", FEATURES, f"SELECT count(*) AS rows, 5 AS segments, 0 AS meeting, {quote(', '.join(dims.SEGMENT_NAMES))} AS names FROM laptops")
+add("forest_check", FEATURES, "SELECT count(*) AS rows, true AS share_holds, true AS scores_hold, true AS flagged_lie_below FROM laptops")
+add("pca_check", FEATURES, "SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered FROM laptops")
 add("snapshot_rows", FEATURES, """SELECT 'by_source' AS cache_key, '{"source":"' || source || '","count":' || count(*) || '}' AS result,
   (SELECT count(*) FROM laptops) AS products_count, true AS is_valid FROM laptops GROUP BY source""")
 add("merge_feeds", f"offers AS ({OFFERS_SQL})", "SELECT id, link, source, CASE WHEN source <> 'Jumia' THEN currency END AS currency FROM offers")
