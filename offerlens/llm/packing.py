@@ -92,5 +92,6 @@ def pack_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stored(rows.mapInArrow(_cut(tokenizer, seq_len), PIECES), "pack-pieces")
     groups = max(1, round(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
+    # the place of a row in its stored file tells rows with one id, or none, apart
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(_fill(seq_len), f"{PIECES}, sequence_id long, offset long")

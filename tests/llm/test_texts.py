@@ -190,6 +190,13 @@ def test_archives_come_back(spark, tmp_path):
     assert read_warc(spark, empty).collect() == []
 
 
+def test_packing_spreads_rows_without_an_id(spark):
+    rows = docs(spark, [(None, f"text {k % 7}", "en", "a") for k in range(3000)])
+    got = pack_documents(rows, tokenizer=catalog.tokenizer_path(), group_pieces=100).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 3000 and len(groups) == 30 and max(groups.values()) < 160
+
+
 # language
 
 
