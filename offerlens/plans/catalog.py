@@ -192,6 +192,8 @@ for _family in ["laptop", "mouse", "bag", "stand", "usb", "cooling"]:
     register(f"relevant_listings_{_family}", lambda s, d, family=_family: clean.relevant_listings(
         market.market_offers(s, d).withColumn("price", prices.digits_price(F.col("price"))), family
     ).select("id", "title", "price"))
+register("bag_listings", lambda s, d: clean.relevant_listings(
+    market.bag_offers(s, d).withColumn("price", prices.digits_price(F.col("price"))), "bag").select("id", "title", "price"))
 register("nulls_for_json", lambda s, d: clean.nulls_for_json(laptops(s, d).select(
     "id", (F.col("price") / F.nullif(F.col("cpu_score"), F.lit(0))).alias("ratio"))))
 register("accessory_gaming", lambda s, d: clean.prepare_accessories(
@@ -426,9 +428,9 @@ register("rule_labels", lambda s, d: rules.laptop_rules(banded(s, d)).select(
 # --- pages, terms, snapshots -------------------------------------------------------------------
 
 
-def listing_pages(spark: SparkSession, sf: str, shop: str, per_page: int = 20) -> DataFrame:
+def listing_pages(spark: SparkSession, sf: str, shop: str, per_page: int = 20, offered=market.market_offers) -> DataFrame:
     """Result pages of a shop, built from all of its offers: cards of consecutive ids share a page."""
-    df = market.market_offers(spark, sf).where(F.col("source") == shop)
+    df = offered(spark, sf).where(F.col("source") == shop)
     path = F.concat(F.lit("/item/"), F.substring_index("link", "/", -1))
     card = {
         "Jumia": F.concat(
@@ -452,6 +454,8 @@ register("jumia_cards", lambda s, d: cards.jumia_offers(listing_pages(s, d, "Jum
 for _family in ["mouse", "stand", "usb", "cooling"]:
     register(f"jumia_{_family}_listing", lambda s, d, family=_family: clean.relevant_listings(
         cards.jumia_offers(listing_pages(s, d, "Jumia"), family), family).drop("place", "url"))
+register("jumia_bag_listing", lambda s, d: clean.relevant_listings(
+    cards.jumia_offers(listing_pages(s, d, "Jumia", offered=market.bag_offers), "bag"), "bag").drop("place", "url"))
 register("jumia_crawl_check", lambda s, d: dedup.crawl_dedup_check(clean.relevant_listings(
     cards.jumia_offers(listing_pages(s, d, "Jumia"), "mouse"), "mouse"), ["url", "place"]))
 register("amazon_cards", lambda s, d: cards.amazon_offers(listing_pages(s, d, "Amazon")).drop("place", "url"))

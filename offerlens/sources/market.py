@@ -42,6 +42,11 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS id,
     ELSE concat('MAD ', CAST(l.l_extendedprice AS STRING)) END AS price,
   {SHARED}"""
 
+BAG_TITLE = """concat(CASE id % 5 WHEN 0 THEN 'Sacoche' WHEN 1 THEN 'Housse' WHEN 2 THEN 'Pochette' WHEN 3 THEN 'Laptop Backpack' ELSE 'Film' END, ' ', title)"""
+
+BAGS_SQL = f"""
+SELECT id, {BAG_TITLE} AS title, price, currency, brand, source, link, search_query, page, is_gaming, date_scraped FROM ({OFFERS_SQL}) o"""
+
 ACCESSORIES_SQL = f"""
 SELECT l.l_orderkey * 10 + l.l_linenumber AS id,
   CASE l.l_partkey % 4 WHEN 0 THEN 'Souris' WHEN 1 THEN 'stand' WHEN 2 THEN 'usb' ELSE 'sac_laptop' END AS category,
@@ -81,6 +86,12 @@ def market_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, OFFERS_SQL, "lineitem", "part")
 
 
+def bag_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers as bags, sleeves and other things for what their titles name."""
+    tables(spark, sf_dir, "lineitem", "part")
+    return spark.sql(BAGS_SQL)
+
+
 def offer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``market_offers`` as a stream over the files that are there now."""
     tables(spark, sf_dir, "part", "lineitem")

@@ -10,7 +10,7 @@ from itertools import combinations
 
 from offerlens import dims
 from offerlens.sources.market import (
-    ACCESSORIES_SQL, ALERTS_SQL, OFFERS_SQL, PRICES_SQL, PRODUCTS_SQL, SEARCHES_SQL,
+    ACCESSORIES_SQL, ALERTS_SQL, BAGS_SQL, OFFERS_SQL, PRICES_SQL, PRODUCTS_SQL, SEARCHES_SQL,
 )
 
 
@@ -233,6 +233,7 @@ for family, (wanted, unwanted, lowest) in dims.LISTING_RULES.items():
     add(f"relevant_listings_{family}", f"offers AS ({OFFERS_SQL})",
         f"""SELECT id, title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price FROM offers
         WHERE ({yes}) AND NOT ({no}) AND CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) >= {lowest}""")
+ORACLES["bag_listings"] = ORACLES["relevant_listings_bag"].replace(OFFERS_SQL, BAGS_SQL)
 add("nulls_for_json", FEATURES, "SELECT id, price / nullif(cpu_score, 0) AS ratio FROM laptops")
 add("accessory_gaming", ACC, "SELECT id, title, regexp_matches(lower(title), 'gaming|gamer|rog|predator') AS is_gaming FROM accessories")
 
@@ -627,13 +628,11 @@ WORD = "regexp_extract(name, '\\S+') AS brand"
 add("jumia_cards", CARD, f"""SELECT name AS title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price, {WORD}, source,
   'https://www.jumia.ma/item/' || leaf AS link, 'i.jpg' AS image, contains(lower(name), 'gaming') AS is_gaming FROM c WHERE source = 'Jumia'""")
 for family, category in dims.LISTING_CATEGORIES.items():
-    if family == "bag":  # the test tables hold no bags
-        continue
     wanted, unwanted, lowest = dims.LISTING_RULES[family]
     yes, no = (" OR ".join(f"strpos(lower(name), {quote(w)}) > 0" for w in words) for words in (wanted, unwanted))
     extra = {"mouse": ", CAST(NULL AS BIGINT) AS old_price, CAST(NULL AS VARCHAR) AS discount, md5('https://www.jumia.ma/item/' || leaf) AS product_id"}
     gaming = "" if family in ("usb", "cooling") else ", regexp_matches(lower(name), 'gaming|gamer') AS is_gaming"
-    add(f"jumia_{family}_listing", CARD, f"""SELECT name AS title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price, {WORD},
+    add(f"jumia_{family}_listing", CARD.replace(OFFERS_SQL, BAGS_SQL) if family == "bag" else CARD, f"""SELECT name AS title, CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) AS price, {WORD},
   source, 'https://www.jumia.ma/item/' || leaf AS link, 'i.jpg' AS image, {quote(category)} AS category, true AS in_stock
   {gaming}{extra.get(family, ", 'MAD' AS currency")} FROM c WHERE source = 'Jumia' AND ({yes}) AND NOT ({no or "false"})
   AND CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT) >= {lowest}""")
