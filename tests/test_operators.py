@@ -209,3 +209,26 @@ def test_every_nth_and_sample(spark):
     assert [r["key"] for r in sampling.every_nth(texts, 500, ["key"]).orderBy("key").limit(3).collect()] == ["00000", "00005", "00010"]
     one = [r["id"] for r in sampling.hash_sample(df, 50, ["id"]).collect()]
     assert one == [r["id"] for r in sampling.hash_sample(df.repartition(7), 50, ["id"]).collect()] and len(set(one)) == 50
+
+
+def test_crawl_dedup_with_missing_leads_writes_little(spark):
+    import os
+    from offerlens.operators import dedup
+    rows = [(None if i % 50 == 0 else i % 977, None if i % 31 == 0 else f"https://shop.example/item/{i * 7919 % 9000}", f"Title {i % 40} of a long name", f"r{i % 3}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, link string, title string, source string").distinct()
+    folder = spark.sparkContext.getCheckpointDir()
+    size = lambda: sum(os.path.getsize(os.path.join(a, f)) for a, _, fs in os.walk(folder.removeprefix("file:")) for f in fs) if folder else 0
+    order, run = ["id", "link", "title", "source"], ("source",)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    expected, links, names = set(), set(), set()
+    for r in sorted(df.collect(), key=lambda r: (low(r.id), (r.link is not None, r.link or ""), r.title, r.source)):
+        link, name = (r.source, r.link), (r.source, r.title)
+        if link not in links and name not in names:
+            expected.add(r)
+            links.add(link)
+            names.add(name)
+    before = size()
+    got = dedup.crawl_dedup(df, order, run).collect()
+    assert set(got) == expected and len(got) == len(expected)
+    folder = spark.sparkContext.getCheckpointDir()
+    assert size() - before < 2_000_000
