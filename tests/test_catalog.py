@@ -25,3 +25,20 @@ def test_query_equals_oracle(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_results_compute_only_the_features_they_read(spark, tmp_path):
+    from offerlens.plans import catalog
+    sf = str(tmp_path)
+    spark.sql("""SELECT id AS l_orderkey, id % 24 AS l_partkey, id % 7 AS l_suppkey, CAST(id % 4 + 1 AS INT) AS l_linenumber, 1D AS l_quantity,
+        CAST(900 + id * 37 AS DOUBLE) AS l_extendedprice, 'R' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ '1998-01-01 00:00:00' AS l_shipdate
+        FROM range(300)""").write.parquet(f"{sf}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, concat('Brand', id % 3) AS p_brand FROM range(24)").write.parquet(f"{sf}/part.parquet")
+    found = catalog.QUERIES["category_counts"](spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower() and "regexp_extract_all" not in plan  # no pattern of a title runs for price levels
+    assert sum(r["count"] for r in found.collect()) == catalog.QUERIES["row_counts"](spark, sf).first()["rows"]
+    plan = catalog.QUERIES["accessory_stats"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan
+    known = catalog.featured(spark, sf, "price", "ram_gb")
+    assert known.columns == ["price", "ram_gb"] and known.is_cached
