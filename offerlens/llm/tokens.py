@@ -39,46 +39,44 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
     if "tokenizer" not in home:
         home["tokenizer"] = Tokenizer.from_file(path)
         home["tokenizer"].encode_special_tokens = True  # their strings in a text are ordinary text
-        home["chunks"] = {}
-    tokenizer, chunks = home["tokenizer"], home["chunks"]
+    tokenizer = home["tokenizer"]
     odd = re.compile(r" (?:\s|\Z)")
     as_bytes = lambda ids: array("I", ids).tobytes()
     model, shown = tokenizer.model, home.setdefault("shown", _shown_bytes())
 
+    class Learning(dict):
+        """Ids by text, found when first asked for."""
+
+        def __init__(self, find: Callable[[str], bytes]) -> None:
+            self.find = find
+
+        def __missing__(self, x: str) -> bytes:
+            found = self.find(x)
+            if len(self) >= CACHED:
+                self.clear()
+            self[x] = found
+            return found
+
     def part(x: str) -> bytes:
         """Ids of one part of the pattern."""
-        found = parts_seen.get(x)
-        if found is None:
-            as_shown = "\u0120" + x[1:] if x[0] == " " and x.isascii() else x.encode().decode("latin-1").translate(shown)
-            found = parts_seen[x] = as_bytes([t.id for t in model.tokenize(as_shown)])
-        return found
-
-    parts_seen = home.setdefault("parts", {})
-
-    def learn(own: list[str]) -> None:
-        new = [x for x in own if x not in chunks]
-        if len(chunks) + len(new) > CACHED:
-            chunks.clear()
-            new = own
-        if len(parts_seen) > CACHED:
-            parts_seen.clear()
-        rest = []
-        for x in new:
-            if m := PLAIN.fullmatch(x):
-                chunks[x] = b"".join(part(y) for y in m.groups() if y)
-            else:
-                rest.append(x)
-        if rest:
-            chunks.update(zip(rest, (as_bytes(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        as_shown = "\u0120" + x[1:] if x[0] == " " and x.isascii() else x.encode().decode("latin-1").translate(shown)
+        return as_bytes([t.id for t in model.tokenize(as_shown)])
+
+    def chunk(x: str) -> bytes:
+        m = PLAIN.fullmatch(x)
+        if not m:
+            return as_bytes(tokenizer.encode(x, add_special_tokens=False).ids)
+        if m.end(1) == len(x):
+            return part(x)  # one part, which the cache of chunks keeps
+        return b"".join([parts[y] for y in m.groups() if y])
+
+    if "chunks" not in home:
+        parts, chunks = home["parts"], home["chunks"] = Learning(part), Learning(chunk)
+    parts, chunks = home["parts"], home["chunks"]
 
     def encode(text: str) -> bytes:
         if "\0" in text or odd.search(text):
             return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
-        split = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(chunks.__getitem__, split))
-        except KeyError:
-            learn(list(dict.fromkeys(split)))
-            return b"".join(map(chunks.__getitem__, split))
+        return b"".join(map(chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
     return encode
