@@ -12,7 +12,7 @@ import pytest
 import zstandard
 
 from offerlens.llm import catalog
-from offerlens.llm.common import table
+from offerlens.llm.common import table, worker_cache
 from offerlens.llm.html_blocks import blocks_of
 from offerlens.llm.html_extract import extract, page_maker
 from offerlens.llm.labeller import Features, Labeller
@@ -159,6 +159,15 @@ def test_cached_ids_are_the_tokenizers(spark):
         assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_unknown_chunks_are_found_in_their_lookup(spark):
+    from tokenizers import Tokenizer
+
+    encode, path = token_bytes(catalog.tokenizer_path()), catalog.tokenizer_path()
+    chunks = worker_cache(f"tokens:{path}")["chunks"]
+    ids = np.array(Tokenizer.from_file(path).encode(" qzxvor,", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert " qzxvor," not in chunks and chunks[" qzxvor,"] == ids == encode(" qzxvor,")
+
+
 # archives
 
 
