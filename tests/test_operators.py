@@ -232,3 +232,43 @@ def test_crawl_dedup_with_missing_leads_writes_little(spark):
     assert set(got) == expected and len(got) == len(expected)
     folder = spark.sparkContext.getCheckpointDir()
     assert size() - before < 2_000_000
+
+
+def counted(spark, rows, schema):
+    """A table whose rows are counted each time that they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    return spark.createDataFrame(rows, schema).mapInPandas(count, schema), seen
+
+
+def test_group_stats_reads_rows_once(spark):
+    rows = [("a" if i % 3 else "b", float(i % 17)) for i in range(200)] + [("c", 0.1), ("c", 0.1), ("c", 0.1), (None, 1.0), ("a", None)]
+    df, seen = counted(spark, rows, "brand string, price double")
+    got = {r.brand: r for r in stats.stats_by_brand(df).collect()}
+    assert seen.value == len(rows)
+    for key in "ab":
+        x = np.array([p for b, p in rows if b == key and p is not None])
+        assert got[key]["count"] == len(x)
+        found = [got[key][c] for c in ("mean", "std", "median", "p25", "min", "max")]
+        assert found == pytest.approx([x.mean(), x.std(ddof=1), np.median(x), np.quantile(x, 0.25), x.min(), x.max()], abs=0.006)
+    assert (got["c"]["mean"], got["c"]["std"], set(got)) == (0.1, 0.0, {"a", "b", "c"})
+
+
+def test_quantiles_read_rows_once(spark):
+    rows = [(float(i % 17),) for i in range(200)]
+    df, seen = counted(spark, rows, "price double")
+    assert distribution.quantiles(df, [], "price", {"m": 0.5}).first().m == np.median([p for p, in rows])
+    assert seen.value == len(rows)
+
+
+def test_moments_of_equal_values_and_nan(spark):
+    df = spark.createDataFrame([("x", 0.1)] * 3 + [("y", 1.0), ("y", math.nan), ("z", math.nan)], "k string, price double")
+    rows = stats.group_stats(df, ["k"], ["count", "mean", "std", "min", "max", "skewness"], {"median": 0.5}, digits=None)
+    got = {r.k: r for r in rows.collect()}
+    assert (got["x"]["mean"], got["x"]["std"], got["x"]["skewness"]) == (0.1, 0.0, None)
+    assert set(got) == {"x", "y"} and got["y"]["count"] == 2 and math.isnan(got["y"]["mean"]) and got["y"]["median"] == 1.0
