@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import drop_worker_caches, stored
 from .shingles import STEP, U, mix
 
 UNKNOWN = "und"
@@ -101,6 +101,7 @@ def _count(order: int, most_words: int = 300_000):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], names=["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         words: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
@@ -279,6 +280,7 @@ def _identify(model: Model, keep: list[str], text_col: str = "text", sharp: floa
     kinds = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_letters", pa.int64())]
 
     def identify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for whole in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(whole[text_col]), 0).to_numpy(zero_copy_only=False))
             lo = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_worker_caches, stored
 from .tokens import token_bytes
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -72,6 +72,7 @@ def _cut(tokenizer: str, seq_len: int):
 
 def _fill(seq_len: int):
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_worker_caches()  # all texts are tokenised by now
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), seq_len)
         return pdf.assign(sequence_id=pdf["grp"] * 2**32 + bins, offset=offsets).drop(columns="grp")

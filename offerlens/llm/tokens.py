@@ -20,7 +20,7 @@ _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _S = r"!-&(-/:-@\[-`{-~"  # ASCII signs but the apostrophe
 PLAIN = re.compile(rf"( ?[{_L}]+)([{_S}]*)(?:(\n)([{_L}]+)([{_S}]*))?")
 
-CACHED = 1_000_000  # chunks kept by a worker, at about 200 bytes; the cache starts anew when full
+CACHED = 800_000  # chunks and parts that a worker keeps together, at about 300 bytes; the caches start anew when full
 
 
 def _shown_bytes() -> dict[int, str]:
@@ -52,8 +52,9 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
 
         def __missing__(self, x: str) -> bytes:
             found = self.find(x)
-            if len(self) >= CACHED:
-                self.clear()
+            if len(parts) + len(chunks) >= CACHED:
+                parts.clear()
+                chunks.clear()
             self[x] = found
             return found
 

@@ -8,10 +8,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
-from offerlens.llm import catalog
+from offerlens.llm import catalog, language, tokens
 from offerlens.llm.common import table, worker_cache
 from offerlens.llm.html_blocks import blocks_of
 from offerlens.llm.html_extract import extract, page_maker
@@ -168,6 +169,22 @@ def test_unknown_chunks_are_found_in_their_lookup(spark):
     assert " qzxvor," not in chunks and chunks[" qzxvor,"] == ids == encode(" qzxvor,")
 
 
+def test_caches_of_ids_are_bounded_together(spark, monkeypatch):
+    encode, home = token_bytes(catalog.tokenizer_path()), worker_cache(f"tokens:{catalog.tokenizer_path()}")
+    monkeypatch.setattr(tokens, "CACHED", 60)
+    home["parts"].clear(), home["chunks"].clear()
+    for i in range(400):
+        word = "".join(chr(97 + int(d)) for d in str(i))
+        assert encode(f"x {word}, y") == encode(f"x {word}, y")
+        assert len(home["parts"]) + len(home["chunks"]) <= 60
+
+
+def test_other_steps_free_what_a_worker_keeps():
+    worker_cache("tokens:x")["chunks"] = {" a": b"1"}
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a few words"]})
+    assert sum(b.num_rows for b in language._count(2)(iter([batch]))) and worker_cache("tokens:x") == {}
+
+
 # archives
 
 
