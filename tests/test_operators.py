@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -86,6 +87,22 @@ def test_spearman(spark):
     assert got["rho"] == pytest.approx(np.corrcoef(pdf[0], pdf[1])[0, 1]) and got["n"] == len(pdf)
 
 
+def test_spearman_over_missing_values(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [tuple(r.choice([None, -1.0, 0.0, 0.5, 2.0, 7.0]) for _ in range(3)) + (float(i) if i % 5 else None, None) for i in range(300)]
+    names = list("abcde")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    pdf = df.toPandas()
+    for short in (0, 50_000):  # ranks by a shuffle, and sent to all tasks
+        monkeypatch.setattr(stats, "SHORT_SIDE", short)
+        got = {(x.a, x.b): (x.rho, x.n) for x in stats.spearman_pairs(df, names).collect()}
+        assert set(got) == set(combinations("abcd", 2))
+        for (a, b), (rho, n) in got.items():
+            both = pdf[[a, b]].dropna().rank()
+            assert n == len(both) and abs(rho - both[a].corr(both[b])) < 1e-9
+
+
+
 def test_silhouette_and_davies_bouldin(spark):
     rng = np.random.default_rng(4)
     v = np.round(np.concatenate([rng.normal(m, 1, 30) for m in (0, 6, 15)] + [[40.0]]), 1)
