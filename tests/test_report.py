@@ -2,6 +2,7 @@
 
 import json
 import math
+import threading
 
 import pytest
 
@@ -53,3 +54,32 @@ def test_results_are_saved_as_tables(spark, results, tmp_path):
     some = {k: results[k] for k in ("stats", "histogram")}
     report.save_report(spark, some, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "histogram")).count() == 12
+
+
+def test_prepare_reads_offers_once(spark):
+    rows = [(i, f"HP EliteBook 840 {i % 3} 8Go RAM 256Go SSD", 3000.0 + 10 * (i % 40), "MAD", "HP", "Jumia", f"l{i % 90}", False) for i in range(200)]
+    schema = "id long, title string, price double, currency string, brand string, source string, link string, is_gaming boolean"
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    got = report.prepare(spark.createDataFrame(rows, schema).mapInPandas(count, schema)).collect()
+    assert len(got) == 90 and seen.value == len(rows)
+    prices = sorted(r["price"] for r in got)
+    low, mid, high = (prices[int(89 * q)] + (prices[min(int(89 * q) + 1, 89)] - prices[int(89 * q)]) * (89 * q % 1) for q in (0.25, 0.5, 0.75))
+    assert all(abs(r["price_scaled"] - (r["price"] - mid) / (high - low)) < 1e-5 for r in got)
+
+
+def test_branches_run_side_by_side(spark):
+    both = threading.Barrier(2, timeout=60)
+
+    def branch(name):
+        def run():
+            both.wait()  # passes only if the other branch runs at the same time
+            return {name: spark.range(1)}
+        return run
+
+    assert set(report.side_by_side(spark, branch("a"), branch("b"))) == {"a", "b"}
