@@ -55,3 +55,15 @@ def test_dashboard_persists_prices_and_brands_only(spark, tmp_path):
     assert {tuple(df.columns) for (_, _, folder), df in catalog._tables.items() if folder == sf} == {("price", "brand_detected")}
     rows = catalog.laptops_once(spark, sf).select("price", "brand_detected").collect()
     assert (found["offers"], found["brands"]) == (len(rows), len({r.brand_detected for r in rows}))
+
+
+def test_forest_check_persists_only_what_it_reads(spark, tmp_path):
+    from offerlens.plans import catalog
+    sf = str(tmp_path)
+    spark.sql("""SELECT id AS l_orderkey, id % 24 AS l_partkey, id % 7 AS l_suppkey, CAST(id % 4 + 1 AS INT) AS l_linenumber, 1D AS l_quantity,
+        CAST(900 + id * 37 AS DOUBLE) AS l_extendedprice, 'R' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ '1998-01-01 00:00:00' AS l_shipdate
+        FROM range(300)""").write.parquet(f"{sf}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, concat('Brand', id % 3) AS p_brand FROM range(24)").write.parquet(f"{sf}/part.parquet")
+    found = catalog.QUERIES["forest_check"](spark, sf).first()
+    assert {tuple(df.columns) for (_, _, folder), df in catalog._tables.items() if folder == sf} == {("id", "link", "price", *catalog.VECTOR)}
+    assert found["rows"] == catalog.laptops_once(spark, sf).count() and found["scores_hold"] and found["flagged_lie_below"]
