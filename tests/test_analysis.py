@@ -192,3 +192,17 @@ def test_lof_of_tiny_tables(spark):
 def test_registered_queries_run_on_the_smallest_tables(spark):
     for name in ("search_clusters", "search_flagged", "search_reports", "band_vector_quality", "local_outlier_factor_steps"):
         assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_lof_leaves_no_neighbours_behind(spark):
+    from pathlib import Path
+
+    from offerlens.session import shared_folder
+    folder = Path(shared_folder(spark, "x").removeprefix("file:")).parent
+    left = lambda: {p.name for p in folder.glob("*near*")} if folder.exists() else set()
+    before = left()
+    df = spark.createDataFrame([(i, float(i * i % 97)) for i in range(120)] + [(120, 900.0)], "id int, log_price double")
+    assert 120 in {r.id for r in lof.detect_lof(df).where("anomaly_lof").collect()}
+    assert {n.split("-")[1] for n in left() - before} <= {"placed"}  # one row for each vector, not one for each pair
+    place, taken = neighbours.first_rows(np.array([1, 0, 1, 1]), np.array([2, 1, 1, 5]), np.array([1.0, 3.0, 0.5, 1.0]), np.array([[2.0], [0.0], [7.0], [1.0]]), 3)
+    assert place.tolist() == [1, 2, 3] and taken.tolist() == [1, 1, 2]
